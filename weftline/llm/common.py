@@ -136,3 +136,25 @@ def utf8(texts, lower: bool = False) -> list[bytes]:
     if lower:
         return [b"" if x is None else x.lower().encode("utf-8", "replace") for x in texts]
     return [b"" if x is None else x.encode("utf-8", "replace") for x in texts]
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per context, so workers can import it wherever they run."""
+    import os
+    import shutil
+
+    context = spark.sparkContext
+    if getattr(context, "_weftline_sent", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="weftline-"), "weftline_package"), "zip", os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(made)
+    context._weftline_sent = True
+
+
+def chunks(batch, limit: int = 4 << 20):
+    """Slices of an Arrow record batch with about `limit` bytes each, so that working memory follows the slice and not the batch."""
+    rows = max(1, batch.num_rows)
+    each = max(1, int(rows * limit / max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, each):
+        yield batch.slice(at, each)

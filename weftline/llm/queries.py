@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, packing
 
 QUERIES = {
+    "op5_best_fit_packing": packing.query,
     "op10_exact_dedup": exact_dedup.query,
 }
+#: The others need a tokenizer, a trained model, files or an iteration, which SQL lacks; tests/llm holds them against brute force.
 ORACLE = {
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }
