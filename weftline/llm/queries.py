@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing
+from . import exact_dedup, packing, toxicity
 
 QUERIES = {
     "op5_best_fit_packing": packing.query,
+    "op9_toxicity": toxicity.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 #: The others need a tokenizer, a trained model, files or an iteration, which SQL lacks; tests/llm holds them against brute force.
