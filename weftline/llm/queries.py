@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, toxicity
+from . import exact_dedup, packing, quality, toxicity
 
 QUERIES = {
+    "op1_quality_classifier": quality.query,
     "op5_best_fit_packing": packing.query,
     "op9_toxicity": toxicity.query,
     "op10_exact_dedup": exact_dedup.query,
