@@ -40,53 +40,32 @@ def default_tokenizer() -> str:
 # ---------------------------------------------------------------- tokenising
 
 
-class UnitEncoder:
-    """Byte-level BPE ids as little-endian uint32 bytes.
+def byte_ranks(path: str) -> dict[bytes, int]:
+    """Byte strings and ids of a byte-level BPE vocabulary; ids are in order of the merges, so they serve as ranks."""
+    from tokenizers import Tokenizer
+
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
+    return {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items()}
+
+
+def make_encoder(path: str):
+    """text -> ids as little-endian uint32 bytes; strings of special tokens are ordinary text."""
+    import public_tokenizers
+    import tiktoken
+
+    bpe = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_ranks(path), special_tokens={})
+    return lambda text: bpe.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes() if text else b""
+
+
+_ENCODERS: dict = {}
 
-    A space before a character that is not white space always begins a pre-token, so a text without other white space
-    next to a space is the concatenation of its space-led units, and ids of frequent units are looked up. Any other text
-    is encoded as a whole. `size` bounds the memory of the look-up table, not what is encoded.
-    """
 
-    def __init__(self, path: str, size: int = 250_000):
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.size, self.known = size, {}
-        self.odd = regex.compile(r" \s|[^\S ] ")
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in got]
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.odd.search(text):
-            return self._whole([text])[0]
-        known, parts = self.known, text.split(" ")
-        units = [parts[0], *[" " + x for x in parts[1:]]]
-        if parts[-1] == "":
-            units[-1] = " "
-        missing = list({x for x in units if x not in known and x})
-        if missing:
-            if len(known) + len(missing) > self.size:
-                known.clear()
-                missing = list({x for x in units if x})
-            known.update(zip(missing, self._whole(missing), strict=True))
-        known.setdefault("", b"")
-        return b"".join([known[x] for x in units])
-
-
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
-def encoder(path: str) -> UnitEncoder:
+def encoder(path: str):
     """One encoder per worker process and vocabulary."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
+        _ENCODERS[path] = make_encoder(path)
     return _ENCODERS[path]
 
 
@@ -110,7 +89,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     def run(batches):
         import pyarrow as pa
 
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer)
         for whole in batches:
             for batch in chunks(whole):
                 rows = []
