@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality, toxicity
+from . import exact_dedup, near_dedup, packing, quality, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
     "op5_best_fit_packing": packing.query,
+    "op7_minhash_near_dedup": near_dedup.query,
     "op9_toxicity": toxicity.query,
     "op10_exact_dedup": exact_dedup.query,
 }
