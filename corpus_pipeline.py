@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import exact_dedup
+from weftline.llm import decontaminate, exact_dedup, near_dedup, packing, quality
 from weftline.llm.common import materialize, table
 
 STAGES = [
+    ("quality classifier", quality.stage),
     ("exact dedup", exact_dedup.stage),
+    ("MinHash near-dedup", near_dedup.stage),
+    ("benchmark decontamination", decontaminate.stage),
+    ("best-fit packing", packing.stage),
 ]
 
-#: A trained classifier and signatures are beyond SQL; tests/llm holds the stages against brute force.
+#: A trained classifier, signatures, tiling and packing are beyond SQL; tests/llm holds every stage against brute force.
 ORACLE_SQL = None
 
 
