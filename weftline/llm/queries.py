@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, lattice, near_dedup, packing, quality, toxicity, warc
+from . import decontaminate, exact_dedup, html_extract, lattice, near_dedup, packing, quality, toxicity, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
     "op3_warc": warc.query,
     "op4_benchmark_decontamination": decontaminate.query,
     "op5_best_fit_packing": packing.query,
+    "op6_html_extraction": html_extract.query,
     "op7_minhash_near_dedup": near_dedup.query,
     "op8_lattice_scoring": lattice.query,
     "op9_toxicity": toxicity.query,
