@@ -7,8 +7,9 @@ Candidates are the members of a band bucket. Pairs inside a bucket are never lis
 * every member is verified against the bucket's leader, the member first by a hash order that all buckets share, so the same
   pairs come up in all bands and are verified once;
 * where that leaves a bucket in several parts, the members outside its largest part are compared with all members, in tiles
-  of bounded size and by signature first; only pairs whose signatures agree enough go on to verification.
-So every pair of a bucket whose members are not already connected is looked at, whatever the size of the bucket.
+  of bounded size. A tile holds the members' sets, counts what each of its queries shares with all of them at once, and
+  returns links between parts that were apart, never more than it has parts.
+So every pair of a bucket whose members are not already connected is compared, whatever the size of the bucket.
 
 Components are found by alternating large-star and small-star steps; every step is a shuffle by node with hubs reduced before.
 """
@@ -26,13 +27,13 @@ from .minhash import SHINGLE, bands, shingles, signatures, weighted
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
-#: Registers that two signatures must agree in: 4.7 standard deviations below what THRESHOLD leads to.
+#: Registers that a member must share with its leader to be verified: 4.7 standard deviations below what THRESHOLD leads to.
 AGREE = int(REGISTERS * (THRESHOLD - 4.7 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5))
-#: Buckets of up to SMALL members are compared by a join; larger ones in tiles of QUERIES by MEMBERS.
-SMALL, QUERIES, MEMBERS = 48, 256, 1024
+#: Queries and members that a tile compares, on average.
+QUERIES, MEMBERS = 256, 1024
 
 _U64 = np.uint64
-NODE = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+NODE = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def node_of(found: np.ndarray) -> bytes:
@@ -42,7 +43,7 @@ def node_of(found: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n, sig, bands of every row. Null text is empty; texts without words share one node with no bands."""
+    """doc_id, node, key (the first 64 bits of node), n, sig, bands of every row. Null text is empty; texts without words share one node with no bands."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -60,7 +61,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                     sigs += [x.tobytes() for x in (sig & _U64(255)).astype(np.uint8)]
                     found += [b if e.size else [] for b, (e, _) in zip(bands(sig, ROWS), own, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(nodes, pa.binary()), pa.array(counts, pa.int32()), pa.array(sigs, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "sig", "bands"]
+                    [batch.column(0), pa.array(nodes, pa.binary()), pa.array(np.frombuffer(b"".join(nodes), np.int64)[::2]), pa.array(counts, pa.int32()), pa.array(sigs, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
+                    names=["doc_id", "node", "key", "n", "sig", "bands"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *NODE.fields]))
@@ -126,42 +128,59 @@ def agreeing(rows: DataFrame) -> DataFrame:
     return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def tiles(group):
-    """Pairs of one tile: queries (q) against members, in different parts, of sizes that can reach the threshold."""
-    import pandas as pd
-
-    q, m = group[group["q"]], group[~group["q"]]
-    out = []
-    if len(q) and len(m):
-        sig = np.frombuffer(b"".join(m["sig"]), np.uint8).reshape(-1, REGISTERS)
-        n, part, node = m["n"].to_numpy(), m["part"].to_numpy(), m["node"].to_numpy()
-        for s, k, p, own in zip(q["sig"], q["n"], q["part"], q["node"], strict=True):
-            hit = (sig == np.frombuffer(s, np.uint8)).sum(1) >= AGREE
-            hit &= (part != p) & (np.minimum(n, k) >= THRESHOLD * np.maximum(n, k))
-            out += [(min(own, x), max(own, x)) for x in node[hit]]
-    return pd.DataFrame(sorted(set(out)), columns=["a", "b"])
-
-
-def strays(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Candidate pairs between a bucket's members outside its largest part and all its members."""
+def tile(group):
+    """Links between different parts that the queries of a tile have with its members."""
+    import pyarrow as pa
+
+    node, part, role, sets = (group.column(k).to_pylist() for k in ("node", "part", "role", "sh"))
+    own = [np.frombuffer(x, np.uint32) for x in sets]
+    members = [i for i, r in enumerate(role) if r & 1 and own[i].size]
+    out, root = [], {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    if members:
+        size = np.array([own[i].size for i in members])
+        known, place = np.unique(np.concatenate([own[i] for i in members]), return_inverse=True)
+        first = np.cumsum(size) - size
+        for q in (i for i, r in enumerate(role) if r & 2 and own[i].size):
+            at = np.minimum(np.searchsorted(known, own[q]), known.size - 1)
+            mark = np.zeros(known.size, np.int32)
+            mark[at[known[at] == own[q]]] = 1
+            common = np.add.reduceat(mark[place], first)
+            for hit in np.flatnonzero(common >= THRESHOLD * (size + own[q].size - common)).tolist():
+                m = members[hit]
+                a, b = find(part[q]), find(part[m])
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((node[q], node[m]))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
+
+
+def strays(members: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between a bucket's members outside its largest part and all its members. members: band, node, lead (boolean).
+
+    Leaders have met all members already. Buckets of the same members count once.
+    """
     rows = members.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    rows = materialize(rows.select("band", "node", "n", "sig", "part"), "members")
-    sizes = rows.groupBy("band", "part").agg(F.count(F.lit(1)).alias("c"))
-    sizes = sizes.groupBy("band").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.sum("c").alias("k"), (F.sum("c") - F.max("c")).alias("s")).filter("s > 0")
-    rows = materialize(rows.join(sizes, "band"), "split-buckets")
-    small, large = rows.filter(F.col("k") <= SMALL), rows.filter(F.col("k") > SMALL)
-    q = small.filter("part <> main").select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("part").alias("pa"))
-    m = small.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("part").alias("pb"), "main")
-    near = F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")
-    once = (F.col("pb") == F.col("main")) | (F.col("a") < F.col("b"))
-    few = agreeing(q.join(m, "band").filter((F.col("pa") != F.col("pb")) & near & once))
-    few = few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    nq, nm = F.ceil(F.col("s") / QUERIES), F.ceil(F.col("k") / MEMBERS)
-    own = F.xxhash64("node")
-    queries = large.filter("part <> main").select("band", "node", "n", "sig", "part", F.lit(True).alias("q"), F.pmod(own, nq).cast("int").alias("qt"), F.explode(F.sequence(F.lit(0), (nm - 1).cast("int"))).alias("mt"))
-    others = large.select("band", "node", "n", "sig", "part", F.lit(False).alias("q"), F.explode(F.sequence(F.lit(0), (nq - 1).cast("int"))).alias("qt"), F.pmod(own, nm).cast("int").alias("mt"))
-    many = queries.unionByName(others).groupBy("band", "qt", "mt").applyInPandas(tiles, "a binary, b binary")
-    return few.unionByName(many).distinct()
+    rows = materialize(rows.select("band", "node", "part", "lead"), "members")
+    one, two = F.xxhash64("node"), F.xxhash64(F.lit(1), "node")
+    sizes = rows.groupBy("band", "part").agg(F.count(F.lit(1)).alias("c"), F.count_if("lead").alias("l"), F.sum(one.cast("decimal(38,0)")).alias("x"), F.sum(two.cast("decimal(38,0)")).alias("y"))
+    sizes = sizes.groupBy("band").agg(F.max_by(F.struct("part", "c", "l"), F.struct("c", "part")).alias("main"), F.sum("c").alias("k"), F.sum("l").alias("l"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    sizes = sizes.select("band", "k", "x", "y", F.col("main.part").alias("main"), (F.col("k") - F.col("main.c") - F.col("l") + F.col("main.l")).alias("s")).filter("s > 0 and k > 2")
+    sizes = sizes.join(sizes.groupBy("k", "x", "y").agg(F.min("band").alias("band")).select("band"), "band", "left_semi")
+    rows = rows.join(sizes.select("band", "k", "s", "main"), "band")
+    asks = (F.col("part") != F.col("main")) & ~F.col("lead")
+    nq, nm, own = F.ceil(F.col("s") / QUERIES).cast("int"), F.ceil(F.col("k") / MEMBERS).cast("int"), F.xxhash64("node")
+    qt, mt = F.pmod(own, nq).cast("int"), F.pmod(own, nm).cast("int")
+    spot = lambda q, m, r: F.struct(q.alias("qt"), m.alias("mt"), F.lit(r).alias("role"))
+    as_member = F.transform(F.sequence(F.lit(0), nq - 1), lambda q: F.struct(q.alias("qt"), mt.alias("mt"), F.when(asks & (q == qt), 3).otherwise(1).alias("role")))
+    as_query = F.filter(F.transform(F.sequence(F.lit(0), nm - 1), lambda m: spot(qt, m, 2)), lambda x: asks & (x["mt"] != mt))
+    spots = rows.select("band", "node", "part", F.explode(F.concat(as_member, as_query)).alias("at")).select("band", "node", "part", "at.*")
+    return spots.join(sets, "node").select("band", "qt", "mt", "node", "part", "role", "sh").groupBy("band", "qt", "mt").applyInArrow(tile, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -188,17 +207,20 @@ def classes(docs: DataFrame) -> DataFrame:
     texts without words form one class. An empty table gives an empty result. Other columns are not read.
     """
     found = materialize(sketches(docs), "sketches")
-    nodes = materialize(found.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id")), "nodes")
-    spread = nodes.select("node", "n", "sig", F.explode("bands").alias("band"))
-    leaders = spread.select("band", "node").groupBy("band").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    members = materialize(spread.join(leaders.select("band", F.col("lead.node").alias("lead")), "band"), "members")
-    sets = materialize(sets_of(docs, nodes.join(members.select("node").distinct(), "node", "left_semi").select("doc_id", "node")), "sets")
-    star = members.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    spread = found.select("key", F.explode("bands").alias("band"))
+    buckets = spread.groupBy("band").agg(F.min("key").alias("lead"), F.max("key").alias("other")).filter("lead <> other").drop("other")
+    members = materialize(spread.join(buckets, "band").distinct(), "buckets")
+    keys = members.select("key").distinct()
+    nodes = materialize(found.drop("bands").join(keys, "key", "left_semi").groupBy("key", "node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id")), "nodes")
+    sets = materialize(sets_of(docs, nodes.select("doc_id", "node")), "sets")
+    side = lambda c: nodes.select(F.col("key").alias(f"k{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
+    star = members.select(F.col("key").alias("ka"), F.col("lead").alias("kb")).distinct().filter("ka <> kb").join(side("a"), "ka").join(side("b"), "kb")
+    star = agreeing(star.filter(F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")))
     links = materialize(verified(star, sets), "links")
-    first = links.groupBy("a").agg(F.min_by("b", F.struct(F.xxhash64("b"), "b")).alias("b"))
+    first = links.groupBy("a").agg(F.min("b").alias("b"))
     ahead = first.select(F.col("a").alias("b"), F.col("b").alias("c"))
     parts = first.join(ahead, "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("part"))
-    more = verified(strays(members.drop("lead"), parts), sets)
+    more = strays(members.join(nodes.select("key", "node"), "key").select("band", "node", (F.col("key") == F.col("lead")).alias("lead")), parts, sets)
     part = components(links.unionByName(more))
     labelled = found.select("doc_id", "node").join(part, "node", "left").select("doc_id", F.coalesce("part", "node").alias("part"))
     labelled = materialize(labelled, "labelled")
