@@ -85,6 +85,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["node", "sh"])
 
     wanted = wanted.withColumnRenamed("doc_id", "_id")
+    docs = docs.select("doc_id", "text")
     rows = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"])).select("text", "node")
     found = rows.mapInArrow(run, "node binary, sh binary")
     return found.groupBy("node").agg(F.min("sh").alias("sh"))
