@@ -88,6 +88,9 @@ class Dialect:
     def slice(self, a: str, n: int) -> str:
         return f"slice({a}, 1, {n})" if self.spark else f"({a})[1:{n}]"
 
+    def slice_to(self, a: str, n: str) -> str:
+        return f"slice({a}, 1, {n})" if self.spark else f"({a})[1:{n}]"
+
     def total(self, a: str) -> str:
         return f"aggregate({a}, 0.0D, (s, v) -> s + v)" if self.spark else f"coalesce(list_sum({a}), 0.0)"
 
