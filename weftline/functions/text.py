@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 #: Generic family names.
-GENERIC = "serif sans-serif monospace cursive fantasy system-ui ui-sans-serif ui-serif ui-monospace ui-rounded -apple-system".split()
+GENERIC = "serif sans-serif monospace cursive fantasy system-ui ui-sans-serif ui-serif ui-monospace -apple-system blinkmacsystemfont".split()
 #: Patterns of monospace and serif family names.
-MONO = r"(?i)mono|code|courier|consolas|menlo"
-SERIF = r"(?i)serif|georgia|times|garamond|merriweather|playfair"
+MONO = r"(?i)mono|consolas|courier|menlo|monaco|code"
+SERIF = r"(?i)serif|georgia|times|garamond|playfair|merriweather|lora|charter"
+#: Texts of consent buttons, whole and in any case.
+CONSENT = "accept all|accept cookies|accept|i accept|agree|i agree|got it|allow all|ok"
 
 
 def parse_stack(d, s: str) -> str:
@@ -79,7 +81,7 @@ def addresses(d) -> str:
 
 def consent(d) -> str:
     """A3: texts that look like a consent button."""
-    return f"SELECT conv_id, turn, {d.like('lower(trim(text))', '^(accept|agree|allow|ok|got it|i agree)')} AS consent, length(text) AS n FROM {d.t('conversations')}"
+    return f"SELECT conv_id, turn, {d.like('lower(trim(text))', f'^({CONSENT})$')} AS consent, length(text) AS n FROM {d.t('conversations')}"
 
 
 PLANS = {"i1_font_stacks": fonts, "i20_hosts": hosts, "i9_snippets": snippets, "i27_token_sets": normalized, "d26_jaccard": jaccard, "b25_blocked_addresses": addresses, "a3_consent_texts": consent}

@@ -1,2 +1,104 @@
-PLANS: dict = {}
-FUNCTIONS: dict = {}
+"""Request state: token bucket and cache, as a batch fold in time order and as a stateful stream.
+
+The bucket holds CAPACITY tokens and refills evenly over WINDOW_MS; a request spends one or is rejected with the seconds until one is
+there. The state of a client is its tokens and the time of its last request.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+CAPACITY = 20
+WINDOW_MS = 60_000
+#: A cached response is served for TTL_MS.
+TTL_MS = 600_000
+
+DECISIONS = "client long, request_id long, ts_ms long, allowed boolean, tokens double, retry_after_s int"
+
+
+def spend(tokens: float, last_ms: int, now_ms: int) -> tuple[float, bool, int]:
+    """(tokens left, allowed, seconds to wait) of a request; time never runs backwards."""
+    rate = CAPACITY / WINDOW_MS
+    tokens = min(float(CAPACITY), tokens + max(0, now_ms - last_ms) * rate)
+    if tokens >= 1:
+        return tokens - 1, True, 0
+    return tokens, False, math.ceil((1 - tokens) / rate / 1000)
+
+
+def _fold(rows, tokens: float, last: int | None):
+    out = []
+    for client, request, now in rows:
+        tokens, allowed, wait = spend(tokens, now if last is None else last, now)
+        last = now if last is None else max(last, now)
+        out.append((client, request, now, allowed, round(tokens, 6), wait))
+    return out, tokens, last
+
+
+def limit(requests: DataFrame) -> DataFrame:
+    """Decisions for client, request_id, ts_ms. A client's requests are folded in batches of its sorted rows, so a busy client is streamed and never held."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        client, tokens, last = None, float(CAPACITY), None
+        for batch in batches:
+            out = []
+            for row in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+                if row[0] != client:
+                    client, tokens, last = row[0], float(CAPACITY), None
+                got, tokens, last = _fold([row], tokens, last)
+                out += got
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.int32()]
+            names = ["client", "request_id", "ts_ms", "allowed", "tokens", "retry_after_s"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names=names)
+
+    return requests.select("client", "request_id", "ts_ms").repartition("client").sortWithinPartitions("client", "ts_ms", "request_id").mapInArrow(run, DECISIONS)
+
+
+def limit_stream(requests: DataFrame) -> DataFrame:
+    """The same on a stream: keyed state, dropped after a window without requests."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        tokens, last = state.get if state.exists else (float(CAPACITY), -1)
+        rows = pd.concat(list(frames)).sort_values(["ts_ms", "request_id"])
+        out, tokens, last = _fold(rows[["client", "request_id", "ts_ms"]].itertuples(index=False, name=None), tokens, None if last < 0 else last)
+        state.update((tokens, last))
+        state.setTimeoutDuration(WINDOW_MS)
+        yield pd.DataFrame(out, columns=["client", "request_id", "ts_ms", "allowed", "tokens", "retry_after_s"])
+
+    return requests.groupBy("client").applyInPandasWithState(step, DECISIONS, "tokens double, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def requests_of(events: DataFrame) -> DataFrame:
+    """Events as requests; a day is taken as an hour, so that clients reach their limit."""
+    return events.select(F.col("user_id").alias("client"), F.col("event_id").alias("request_id"), (F.unix_millis(F.col("ts").cast("timestamp")) / 24).cast("long").alias("ts_ms"))
+
+
+def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1."""
+    return limit(requests_of(spark.read.parquet(f"{sf_dir}/events.parquet")))
+
+
+def cache(d) -> str:
+    """L3: a request is a hit when the same client asked for the same thing within the TTL before."""
+    ms = "unix_millis(cast(ts AS timestamp))" if d.spark else "epoch_ms(ts)"
+    r = f"SELECT user_id AS client, event_type AS item, event_id, {ms} AS ts_ms FROM {d.t('events')}"
+    return f"SELECT client, item, event_id, coalesce(ts_ms - lag(ts_ms) OVER (PARTITION BY client, item ORDER BY ts_ms, event_id) < {TTL_MS * 6 * 24}, false) AS hit FROM ({r}) r"
+
+
+def statuses(d) -> str:
+    """Body limit and status of a request."""
+    return f"SELECT conv_id, turn, CASE WHEN text IS NULL OR length(text) = 0 THEN 400 WHEN length(text) > 1000 THEN 413 WHEN role NOT IN ('user', 'assistant', 'system') THEN 422 ELSE 200 END AS status FROM {d.t('conversations')}"
+
+
+PLANS = {"l3_cache_hits": cache, "l6_statuses": statuses}
+FUNCTIONS = {"l1_token_bucket": token_bucket}
