@@ -9,8 +9,8 @@ every place where a word could have been inserted. Lines that share a key are ne
 earliest line stands for all of them, and one row per line and key is all that is ever joined. The distance of what is dropped is
 verified on the words.
 
-Only a line that has a near one needs variants. Of two lines one edit apart the first half or the second half is untouched, so
-lines whose halves occur nowhere else are left out first; that is exact.
+Only a line that has a near one needs variants. Of two lines one edit apart the first or the last words are untouched, so lines
+whose ends occur in no other line are left out first, by hashes alone; that is exact.
 
 Only DataFrame functions run here.
 """
@@ -36,15 +36,20 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
 
 
-def halves(words: Column) -> Column:
-    """Keys of the halves that a line shares with any line one edit away: for its own length and as the longer of two."""
+def span(n: Column) -> Column:
+    """Words in the ends of a line of n words: the largest power of two up to half of it."""
+    return F.pow(F.lit(2.0), F.floor(F.log2(n / F.lit(2.0)))).cast("int")
+
+
+def ends(words: Column) -> Column:
+    """Keys of both ends; a line that is one word above a power of two has those of the shorter length as well, to meet a line of one word less."""
     n = F.size(words)
 
-    def of(s: Column) -> list[Column]:
-        h = F.floor(s / 2).cast("int")
-        return [F.xxhash64(F.lit(1), s, F.slice(words, F.lit(1), h)), F.xxhash64(F.lit(2), s, F.slice(words, n - (s - h) + 1, s - h))]
+    def of(p: Column) -> Column:
+        return F.array(F.xxhash64(F.lit(1), p, F.slice(words, F.lit(1), p)), F.xxhash64(F.lit(2), p, F.slice(words, n - p + 1, p)))
 
-    return F.array(*of(n), *of(n - 1))
+    p, q = span(n), span(n - 1)
+    return F.when((p != q) & (n > LEAST), F.concat(of(p), of(q))).otherwise(of(p))
 
 
 def variants(words: Column) -> Column:
@@ -75,19 +80,25 @@ def dedup(docs: DataFrame) -> DataFrame:
     lines = lines_of(docs).withColumn("words", words_of(F.col("line"))).drop("line")
     ref = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("line_no"))
     lines = lines.select(ref.alias("ref"), "words", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(3), "words").alias("h2"), F.size("words").alias("n"))
-    slim = materialize(lines.select("ref", "h1", "h2", "n"), "lines")
-    texts = lines.filter(F.col("n") >= LEAST).groupBy("h1", "h2").agg(F.min("ref").alias("ref"), F.first("words").alias("words"))
-    texts = materialize(texts, "distinct-lines")
-    half = texts.select("h1", "h2", F.explode(halves(F.col("words"))).alias("key"))
-    shared = half.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    alive = half.join(shared, "key", "left_semi").select("h1", "h2").distinct()
-    alive = materialize(texts.join(alive, ["h1", "h2"], "left_semi"), "alive")
-    keys = alive.select("h1", "h2", "ref", F.explode(variants(F.col("words"))).alias("key"))
-    groups = keys.groupBy("key").agg(F.min(F.struct("ref", "h1", "h2")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    found = keys.join(groups, "key").filter(F.col("lead.ref") < F.col("ref")).groupBy("h1", "h2").agg(F.min("lead").alias("lead"))
-    pairs = found.join(alive.select("h1", "h2", "words"), ["h1", "h2"]).select("h1", "h2", "words", "lead")
-    leads = alive.select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), F.col("words").alias("other"))
-    near = pairs.join(leads, (F.col("lead.h1") == F.col("l1")) & (F.col("lead.h2") == F.col("l2"))).filter(within_one(F.col("words"), F.col("other"))).select("h1", "h2", F.col("lead.ref").alias("near"))
+    keyed = lines.withColumn("ends", F.when(F.col("n") >= LEAST, ends(F.col("words"))))
+    slim = materialize(keyed.select("ref", "h1", "h2", "n", "ends"), "lines")
+    tips = slim.filter(F.col("n") >= LEAST).select("h1", F.explode("ends").alias("key"))
+    shared = tips.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key")
+    alive = tips.join(shared, "key", "left_semi").select("h1").distinct()
+    firsts = slim.filter(F.col("n") >= LEAST).groupBy("h1", "h2").agg(F.min("ref").alias("ref"))
+    wanted = firsts.join(alive, "h1", "left_semi").groupBy("ref.doc_id").agg(F.collect_set("ref.line_no").alias("_lines")).withColumnRenamed("doc_id", "_doc")
+    texts = docs.select("doc_id", "text")
+    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_doc"])).select("doc_id", "_lines", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
+    texts = texts.filter(F.array_contains("_lines", F.col("line_no"))).select("doc_id", "line_no", words_of(F.col("line")).alias("words"))
+    texts = texts.select(F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(3), "words").alias("h2"), ref.alias("ref"), "words")
+    alive = materialize(texts.filter(F.size("words") >= LEAST).groupBy("h1", "h2").agg(F.min("ref").alias("ref"), F.first("words").alias("words")), "alive")
+    keys = alive.select("h1", F.col("ref.last").alias("last"), F.col("ref.doc_id").alias("doc_id"), F.col("ref.line_no").alias("line_no"), F.explode(variants(F.col("words"))).alias("key"))
+    lead = F.struct("last", "doc_id", "line_no").alias("ref")
+    groups = keys.groupBy("key").agg(F.min(F.struct(lead, "h1")).alias("lead"), F.max("h1").alias("a"), F.min("h1").alias("b")).filter("a <> b").select("key", "lead")
+    found = keys.select("key", "h1").join(groups, "key").filter(F.col("lead.h1") != F.col("h1")).groupBy("h1").agg(F.min("lead").alias("lead"))
+    pairs = found.join(alive, "h1").filter(F.col("lead.ref") < F.col("ref")).select("h1", "h2", "words", "lead")
+    leads = alive.select(F.col("h1").alias("l1"), F.col("words").alias("other"))
+    near = pairs.join(leads, F.col("lead.h1") == F.col("l1")).filter(within_one(F.col("words"), F.col("other"))).select("h1", "h2", F.col("lead.ref").alias("near")).groupBy("h1", "h2").agg(F.min("near").alias("near"))
     first = slim.filter("n > 0").groupBy("h1", "h2").agg(F.min("ref").alias("first"))
     best = first.join(near, ["h1", "h2"], "left").select("h1", "h2", F.least("first", F.coalesce("near", "first")).alias("keep"))
     out = slim.filter("n > 0").join(best, ["h1", "h2"]).select("ref", "keep").unionByName(slim.filter("n = 0").select("ref", F.col("ref").alias("keep")))
