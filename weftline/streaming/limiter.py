@@ -60,22 +60,18 @@ def limit(requests: DataFrame) -> DataFrame:
 
 
 def limit_stream(requests: DataFrame) -> DataFrame:
-    """The same on a stream: keyed state, dropped after a window without requests."""
+    """The same on a stream. The state of a client is two numbers; it is kept for good, as a client without requests looks like a new one only after a window."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
         tokens, last = state.get if state.exists else (float(CAPACITY), -1)
         rows = pd.concat(list(frames)).sort_values(["ts_ms", "request_id"])
         out, tokens, last = _fold(rows[["client", "request_id", "ts_ms"]].itertuples(index=False, name=None), tokens, None if last < 0 else last)
         state.update((tokens, last))
-        state.setTimeoutDuration(WINDOW_MS)
         yield pd.DataFrame(out, columns=["client", "request_id", "ts_ms", "allowed", "tokens", "retry_after_s"])
 
-    return requests.groupBy("client").applyInPandasWithState(step, DECISIONS, "tokens double, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.groupBy("client").applyInPandasWithState(step, DECISIONS, "tokens double, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def requests_of(events: DataFrame) -> DataFrame:
