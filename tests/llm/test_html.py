@@ -47,3 +47,29 @@ def test_query_shape(spark):
     got = sorted(((r.page_id, r.text, r.n_chars) for r in H.main_text(df).collect()), key=str)
     assert got == sorted([(1, "One", 3), (2, "", 0), (None, "", 0), (3, "Zwei ö", 6), (3, "Zwei ö", 6)], key=str)
     assert H.main_text(df.limit(0)).count() == 0
+
+
+def read(pages):
+    """Every page read by the rule of all."""
+    w = None
+    for p in pages:
+        x = H.wrapper_of(p)
+        w = x if w is None else H.merged(w, x)
+    rule = H.rule_of(H.canonical(w))
+    return [H.extract(p, rule) for p in pages]
+
+
+def prose(k, words=30):
+    return " ".join(f"w{k}x{i}" for i in range(words))
+
+
+def test_template_and_root_from_the_wrapper_where_pages_have_an_article():
+    """Texts that every page repeats are no article text inside the article element either; prose beside the element is."""
+    shared = [f"<body><article><h1>Title {k}</h1><p>{prose(k)}<p>{prose(k + 50)}<p>Send this page to a friend</p><div class=strip>Printed from example</div></article><div>{k}</div></body>" for k in range(5)]
+    assert read(shared) == [f"Title {k}\n\n{prose(k)}\n\n{prose(k + 50)}" for k in range(5)]
+    parted = [f"<body><article><p>{prose(k)}</p></article><div class=rest><p>{prose(k + 50)}</p></div><div class=date>day {k}</div></body>" for k in range(5)]
+    assert read(parted) == [f"{prose(k)}\n\n{prose(k + 50)}" for k in range(5)]
+    teaser = [f"<body><article><p>See {k}</p></article><div class=story><p>{prose(k, 200)}</p><p>{prose(k + 50, 200)}</p></div></body>" for k in range(5)]
+    assert read(teaser) == [f"{prose(k, 200)}\n\n{prose(k + 50, 200)}" for k in range(5)]
+    same = [f"<article><h1>One</h1><p>{prose(1)}<p>{prose(2)}<p>{prose(3)}<p>changed {k}</article>" for k in range(3)]
+    assert read(same) == [f"One\n\n{prose(1)}\n\n{prose(2)}\n\n{prose(3)}\n\nchanged {k}" for k in range(3)]  # versions of one article

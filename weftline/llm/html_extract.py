@@ -6,9 +6,10 @@ merged, equal texts stay constant, different ones become a slot, an element that
 becomes repeated. The merge is done inside every task over all its pages, then over the distinct wrappers of a host, so every
 page takes part and no task holds the pages of a host.
 
-From a host's wrapper follows where its article stands (its root) and which constant texts around it are template; each page is then
-read with that rule. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are no part of
-an article wherever they stand.
+From a host's wrapper follows where its article stands (its root, for which an article or main element is evidence), where more of
+its prose stands, and which texts are template: those that every one of several different pages holds at an aligned place, in the
+root as well as around it. Each page is then read with that rule. Menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles and reader comments are no part of an article wherever they stand.
 """
 
 from __future__ import annotations
@@ -45,6 +46,11 @@ WORDS = set(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended "
     "comment comments reply replies respond discussion disqus widget toolbar pager pagination skip copyright disclaimer".split()
 )
+#: Elements whose text is prose, and those that prose is read through.
+PROSE = {"p", "pre", "blockquote"}
+BLOCKS = PROSE | {"h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tbody", "thead", "tr", "td", "th", "figure", "figcaption"}
+#: Mean characters of a text of prose, and the share of the root's text from which other prose is article text as well.
+LONG, SHARE = 60, 0.25
 #: An element that starts ends an open one of these kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body", "html", "nav", "aside", "footer", "header", "form"}
@@ -69,12 +75,12 @@ def beside(name: str, a: dict[str, str], inside: bool) -> bool:
 
 
 def events(page: str):
-    """("open", label, beside) | ("close",) | ("text", str) of block elements and their texts; text of a block is parted by its inner blocks.
+    """("open", label, mark, name of the block) | ("close",) | ("text", str) of block elements and their texts; text of a block is parted by its inner blocks.
 
     Character references are decoded, runs of white space are one space, ends are trimmed. Elements that are left open are closed
     where HTML closes them.
     """
-    stack: list[tuple[str, bool, bool]] = []  # name, beside, in an article
+    stack: list[tuple[str, str, bool]] = []  # name, mark, in an article
     held: list[str] = []
 
     def flush():
@@ -139,16 +145,17 @@ def events(page: str):
         yield from flush()
         a = attributes(m["rest"])
         inside = any(x[2] for x in stack)
-        off = beside(name, a, inside)
+        off = "!" if beside(name, a, inside) else ""
         stack.append((name, off, inside or (name in ("article", "main") and not off)))
         label = name + "".join(sorted("." + c for c in a.get("class", "").split()))
-        yield ("open", label, off)
+        yield ("open", label, off, label + "#" + re.sub(r"\d+", "0", a.get("id", "")) + off if off else label)
         if m["rest"].rstrip().endswith("/") and name not in BLOCK:
             yield from pop(len(stack) - 1)
     yield from pop(0)
 
 
-# ---------------------------------------------------------------- wrappers: [label, quantifier, children] and ["#", quantifier, text hash or None, characters, times]
+# ---------------------------------------------------------------- wrappers
+# [label, quantifier, children, least, greatest hash of a page with it] and ["#", quantifier, text hash or None, characters, times, hashes of texts that every page holds here]
 
 QUANTIFIERS = ("", "?", "+", "*")
 
@@ -159,18 +166,26 @@ def either(a: str, b: str, repeated: bool = False, optional: bool = False) -> st
     return ("*" if less else "+") if more else ("?" if less else "")
 
 
-def merged(a: list, b: list, repeated: bool = False) -> list:
-    """The wrapper of what either matches; both have one label."""
+def merged(a: list, b: list, repeated: bool = False, same: bool = False) -> list:
+    """The wrapper of what either matches; both have one label. What is repeated, or `same`, stands in the same pages, which hold the texts of both."""
+    same = same or repeated
     q = either(a[1], b[1], repeated)
     if a[0] == "#":
-        return ["#", q, a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4]]
-    return [a[0], q, aligned(a[2], b[2])]
+        every = set(a[5]) | set(b[5]) if same else set(a[5]) & set(b[5])
+        return ["#", q, a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4], sorted(every)]
+    return [a[0], q, aligned(a[2], b[2], same), min(a[3], b[3]), max(a[4], b[4])]
 
 
-def aligned(a: list, b: list) -> list:
+def lacking(w: list) -> list:
+    """A wrapper that some page lacks: none of its texts is in every page."""
+    return w if w[0] == "#" else [w[0], w[1], [lacking(x) for x in w[2]], w[3], w[4]]
+
+
+def aligned(a: list, b: list, same: bool = False) -> list:
     """Children of two wrappers: a longest common subsequence by label is merged, the rest becomes optional."""
+    keep = (lambda x: x) if same else lacking
     if [x[0] for x in a] == [x[0] for x in b]:
-        return [merged(x, y) for x, y in zip(a, b, strict=True)]
+        return [merged(x, y, same=same) for x, y in zip(a, b, strict=True)]
     size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -178,13 +193,13 @@ def aligned(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and a[i][0] == b[j][0] and size[i][j] == size[i + 1][j + 1] + 1:
-            out.append(merged(a[i], b[j]))
+            out.append(merged(a[i], b[j], same=same))
             i, j = i + 1, j + 1
         elif j == len(b) or (i < len(a) and size[i + 1][j] >= size[i][j + 1]):
-            out.append([a[i][0], either(a[i][1], "", optional=True), *a[i][2:]])
+            out.append([a[i][0], either(a[i][1], "", optional=True), *keep(a[i])[2:]])
             i += 1
         else:
-            out.append([b[j][0], either(b[j][1], "", optional=True), *b[j][2:]])
+            out.append([b[j][0], either(b[j][1], "", optional=True), *keep(b[j])[2:]])
             j += 1
     return squared(out)
 
@@ -202,13 +217,16 @@ def squared(children: list) -> list:
 
 def wrapper_of(page: str) -> list:
     """The wrapper of a single page."""
-    root: list = ["", "", []]
+    found = list(events(page))
+    own = zlib.crc32("\n".join(e[1] for e in found if e[0] == "text").encode())
+    root: list = ["", "", [], own, own]
     stack = [root]
-    for e in events(page):
+    for e in found:
         if e[0] == "open":
-            stack.append([e[1] + ("!" if e[2] else ""), "", []])
+            stack.append([e[3], "", [], own, own])
         elif e[0] == "text":
-            stack[-1][2].append(["#", "", zlib.crc32(e[1].encode()), len(e[1]), 1])
+            key = zlib.crc32(e[1].encode())
+            stack[-1][2].append(["#", "", key, len(e[1]), 1, [key]])
         else:
             done = stack.pop()
             done[2] = squared(done[2])
@@ -221,74 +239,116 @@ def canonical(w: list) -> list:
     """The wrapper without counts of characters, which would make all wrappers distinct; texts keep their mean length by powers of two."""
     if w[0] == "#":
         mean = w[3] // max(1, w[4])
-        return ["#", w[1], w[2], 1 << max(0, mean.bit_length() - 1), 1]
-    return [w[0], w[1], [canonical(x) for x in w[2]]]
+        return ["#", w[1], w[2], 1 << max(0, mean.bit_length() - 1), 1, w[5]]
+    return [w[0], w[1], [canonical(x) for x in w[2]], w[3], w[4]]
 
 
 def rule_of(w: list) -> dict:
-    """Where the article stands: its label, and the hashes of constant texts around it that are template.
+    """How the pages of a host are read.
 
-    An article element, else a main element, else the element whose direct slots hold the most text and all beneath it.
+    several: the wrapper is of different pages. root: the element the article stands in, an article element or else a main element
+    unless other prose is by far longer, else the element whose direct texts are the longest. more: other elements with direct texts
+    of prose. fixed: hashes of the texts that every page holds at an aligned place. blocks: blocks beside the article that different
+    pages hold.
     """
-    found: dict[str, int] = {}
-    best = ["", 0]
+    several = True
     fixed: set[int] = set()
+    blocks: set[str] = set()
+    direct: dict[str, list[int]] = {}  # characters of direct texts, of prose among them, and of direct texts outside article and main
+    whole = {"article": 0, "main": 0}
 
-    def slots(node: list) -> int:
-        return sum((x[3] // max(1, x[4])) * (4 if x[1] in ("+", "*") else 1) for x in node[2] if x[0] == "#" and x[2] is None)
+    def size(x: list) -> int:
+        """Characters of a text; a constant one of different pages is template."""
+        return 0 if several and x[2] is not None and x[5] else x[3] // max(1, x[4])
 
-    def visit(node: list) -> None:
-        own = 0
+    def texts(node: list, many: int, prose: bool) -> tuple[int, int]:
+        """Characters of the texts of a block, and of those that are prose."""
+        own = long = 0
         for x in node[2]:
+            times = many * (4 if x[1] in ("+", "*") else 1)
             if x[0] == "#":
-                if x[2] is not None:
-                    fixed.add(x[2])
-                continue
-            if x[0].endswith("!"):
-                continue
-            name = x[0].split(".")[0]
-            found[name] = found.get(name, 0) + 1
-            own += slots(x) * (4 if x[1] in ("+", "*") else 1) if name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li", "td") else 0
-            visit(x)
-        own += slots(node)
-        if own > best[1] and node[0] not in ("", "html") and node[0].split(".")[0] not in ("p", "li", "ul", "ol"):
-            best[:] = [node[0], own]
-
-    visit(w)
-    for name in ("article", "main"):
-        if found.get(name):
-            return {"root": name, "fixed": []}
-    return {"root": best[0], "fixed": sorted(fixed)}
+                n = size(x)
+                own, long = own + n * times, long + (n * times if prose and n >= LONG else 0)
+            elif x[0].split(".")[0] in BLOCKS and not x[0].endswith(("!", "!c", "!i")):
+                a, b = texts(x, times, x[0].split(".")[0] in PROSE)
+                own, long = own + a, long + b
+        return own, long
+
+    def visit(node: list, within: tuple[str, ...], apart: bool, many: int) -> None:
+        label = node[0]
+        name = label.split(".")[0]
+        if label.endswith(("!", "!c", "!i")):
+            apart = True
+            if node[3] != node[4]:
+                blocks.add(label)
+        if not apart and label and name not in BLOCKS:
+            own, long = texts(node, many, True)
+            for kind in ("article", "main"):
+                if name == kind or kind in within:
+                    whole[kind] += own
+            if name in whole:
+                within = (*within, name)
+            at = direct.setdefault(label, [0, 0, 0, 0])
+            for k, n in enumerate((own, long, 0 if "article" in within else long, 0 if "main" in within else long)):
+                at[k] += n
+        for x in node[2]:
+            if x[0] == "#":
+                if several and not apart:
+                    fixed.update(x[5])
+            else:
+                visit(x, within, apart, many * (4 if x[1] in ("+", "*") else 1))
+
+    visit(w, (), False, 1)
+    names = {x.split(".")[0] for x in direct}
+    best = max(direct, key=lambda x: (direct[x][0] if x != "html" else -1, x), default="")
+    root, most, outside = best if direct and direct[best][0] else "", direct[best][0] if direct else 0, 1
+    for k, kind in ((2, "article"), (3, "main")):
+        other = max((x[k] for x in direct.values()), default=0)
+        if kind in names and whole[kind] >= SHARE * other:
+            root, most, outside = kind, whole[kind], k
+            break
+    more = sorted(x for x, n in direct.items() if root and x != root and n[outside] and n[outside] >= SHARE * most)
+    return {"several": several, "root": root, "more": more, "fixed": sorted(fixed), "blocks": sorted(blocks)}
 
 
 def extract(page: str, rule: dict) -> str:
     """The article of a page: its blocks in order, parted by an empty line.
 
-    A page without the wrapper's root is read from its own article, main or, failing these, its body.
+    A page without the wrapper's root is read from its own article, main or, failing these, its body. Where most of a page is in
+    every page, the pages are versions of one article and nothing is template.
     """
     found = list(events(page))
     labels = {e[1].split(".")[0] for e in found if e[0] == "open" and not e[2]} | {e[1] for e in found if e[0] == "open" and not e[2]}
-    root = rule.get("root", "")
+    root, more = rule.get("root", ""), set(rule.get("more", ()))
     if root not in labels:
         root = next((x for x in ("article", "main") if x in labels), "")
-    fixed = set(rule.get("fixed", ())) if root == rule.get("root") and root not in ("article", "main") else set()
-    out, depth, off, on = [], 0, [], []
+    proper = root not in ("", "body", "html")
+    blocks = set(rule.get("blocks", ())) if rule.get("several") else None
+    fixed = set(rule.get("fixed", ()))
+    out, depth, off, on, near = [], 0, [], [], []
     for e in found:
         if e[0] == "open":
             depth += 1
-            if e[2]:
+            named = blocks is None or e[3] in blocks or (proper and not on)
+            if e[2] == "!" or (e[2] == "!c" and named) or (e[2] == "!i" and named and not (proper and on)):
                 off.append(depth)
             if not root or root in (e[1], e[1].split(".")[0]):
                 on.append(depth)
+            # prose beside the root is read through blocks of text only
+            near.append(e[1] in more or bool(near and near[-1] and e[1].split(".")[0] in BLOCKS))
         elif e[0] == "close":
             if off and off[-1] == depth:
                 off.pop()
             if on and on[-1] == depth:
                 on.pop()
+            near.pop()
             depth -= 1
-        elif not off and (on or not root) and not (fixed and zlib.crc32(e[1].encode()) in fixed):
-            out.append(e[1])
-    return "\n\n".join(out)
+        elif not off and (on or not root or (near and near[-1])):
+            out.append((e[1], zlib.crc32(e[1].encode()) in fixed))
+    kept = [x for x, same in out if not same]
+    if 2 * len(kept) < len(out) and 2 * sum(map(len, kept)) < sum(len(x) for x, _ in out):
+        kept = [x for x, _ in out]
+    return "\n\n".join(kept)
 
 
 # ---------------------------------------------------------------- Spark
@@ -306,6 +366,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def fold(rows):
         held: dict[str, list] = {}
         for name, w in rows:
+            if not w[2]:
+                continue  # a page without elements and texts
             held[name] = merged(held[name], w) if name in held else w
         return held
 
