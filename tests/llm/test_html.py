@@ -73,3 +73,10 @@ def test_template_and_root_from_the_wrapper_where_pages_have_an_article():
     assert read(teaser) == [f"{prose(k, 200)}\n\n{prose(k + 50, 200)}" for k in range(5)]
     same = [f"<article><h1>One</h1><p>{prose(1)}<p>{prose(2)}<p>{prose(3)}<p>changed {k}</article>" for k in range(3)]
     assert read(same) == [f"One\n\n{prose(1)}\n\n{prose(2)}\n\n{prose(3)}\n\nchanged {k}" for k in range(3)]  # versions of one article
+
+
+def test_texts_of_a_single_page_are_no_template():
+    one = "<div><h1>T</h1><p>x</p></div>"
+    assert read([one]) == ["T\n\nx"] and read([one, one, "<!-- c -->" + one]) == ["T\n\nx"] * 3
+    pages = [f"<body><div class=hint>Read more here</div><div class=story><h1>Title {k}</h1><p>{prose(k)}</p>{'<blockquote>Said once</blockquote>' if k == 2 else ''}</div></body>" for k in range(5)]
+    assert read(pages) == [f"Title {k}\n\n{prose(k)}" + ("\n\nSaid once" if k == 2 else "") for k in range(5)]

@@ -178,7 +178,7 @@ def merged(a: list, b: list, repeated: bool = False, same: bool = False) -> list
 
 def lacking(w: list) -> list:
     """A wrapper that some page lacks: none of its texts is in every page."""
-    return w if w[0] == "#" else [w[0], w[1], [lacking(x) for x in w[2]], w[3], w[4]]
+    return [*w[:5], []] if w[0] == "#" else [w[0], w[1], [lacking(x) for x in w[2]], w[3], w[4]]
 
 
 def aligned(a: list, b: list, same: bool = False) -> list:
@@ -251,7 +251,7 @@ def rule_of(w: list) -> dict:
     of prose. fixed: hashes of the texts that every page holds at an aligned place. blocks: blocks beside the article that different
     pages hold.
     """
-    several = True
+    several = w[3] != w[4]
     fixed: set[int] = set()
     blocks: set[str] = set()
     direct: dict[str, list[int]] = {}  # characters of direct texts, of prose among them, and of direct texts outside article and main
