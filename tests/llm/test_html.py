@@ -80,3 +80,11 @@ def test_texts_of_a_single_page_are_no_template():
     assert read([one]) == ["T\n\nx"] and read([one, one, "<!-- c -->" + one]) == ["T\n\nx"] * 3
     pages = [f"<body><div class=hint>Read more here</div><div class=story><h1>Title {k}</h1><p>{prose(k)}</p>{'<blockquote>Said once</blockquote>' if k == 2 else ''}</div></body>" for k in range(5)]
     assert read(pages) == [f"Title {k}\n\n{prose(k)}" + ("\n\nSaid once" if k == 2 else "") for k in range(5)]
+
+
+def test_ids_and_headings_do_not_name_blocks_inside_an_article():
+    page = f"<article><h1>T</h1><h2 id=related-work>Related</h2><p class=notice-text>{prose(1)}</p><section id=discussion><p>{prose(2)}</p></section><div class=copyright-law>Law</div><div class=share-buttons>Share</div></article>"
+    assert H.extract(page, {}) == f"T\n\nRelated\n\n{prose(1)}\n\n{prose(2)}\n\nLaw"
+    assert read([page])[0] == H.extract(page, {})
+    pages = [f"<article><h1>Title {k}</h1><p>{prose(k)}</p><div class=related>{'See ' + str(k)}</div>{'<section class=discussion><p>Only here</p></section>' if k == 1 else ''}</article>" for k in range(4)]
+    assert read(pages) == [f"Title {k}\n\n{prose(k)}" + ("\n\nOnly here" if k == 1 else "") for k in range(4)]

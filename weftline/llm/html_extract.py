@@ -9,7 +9,8 @@ page takes part and no task holds the pages of a host.
 From a host's wrapper follows where its article stands (its root, for which an article or main element is evidence), where more of
 its prose stands, and which texts are template: those that every one of several different pages holds at an aligned place, in the
 root as well as around it. Each page is then read with that rule. Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are no part of an article wherever they stand.
+scripts, styles and reader comments are no part of an article wherever they stand. Inside the root a class names such a block only as
+a whole, on a container, and where the wrapper holds the block in several pages.
 """
 
 from __future__ import annotations
@@ -46,9 +47,14 @@ WORDS = set(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended "
     "comment comments reply replies respond discussion disqus widget toolbar pager pagination skip copyright disclaimer".split()
 )
+#: Words that make a compound class of WORDS the name of a component.
+NOUNS = set("area articles bar block box btn button buttons container count form icon icons inner item items link links list post posts slot tools unit wrap wrapper".split())
+#: Elements that a class or id can name as a block beside the article, in it as well.
+CONTAINERS = {"article", "center", "details", "dl", "div", "figure", "header", "ol", "section", "table", "ul"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements whose text is prose, and those that prose is read through.
 PROSE = {"p", "pre", "blockquote"}
-BLOCKS = PROSE | {"h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tbody", "thead", "tr", "td", "th", "figure", "figcaption"}
+BLOCKS = PROSE | HEADINGS | {"ul", "ol", "li", "dl", "dt", "dd", "table", "tbody", "thead", "tr", "td", "th", "figure", "figcaption"}
 #: Mean characters of a text of prose, and the share of the root's text from which other prose is article text as well.
 LONG, SHARE = 60, 0.25
 #: An element that starts ends an open one of these kinds.
@@ -60,18 +66,29 @@ def attributes(rest: str) -> dict[str, str]:
     return {m[0].lower(): entities.unescape(m[1] or m[2] or m[3]) for m in ATTRIBUTE.findall(rest)} if rest.strip(" /\t\r\n") else {}
 
 
-def beside(name: str, a: dict[str, str], inside: bool) -> bool:
-    """An element that is not part of an article; `inside` an article a header is its own."""
+def words(named: str) -> list[str]:
+    return [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", named)]
+
+
+def beside(name: str, a: dict[str, str], inside: bool) -> str:
+    """The mark of an element that is not part of an article, or ""; `inside` an article a header is its own.
+
+    "!" is so by its kind; "!c" is a container with a class that names a component as a whole; "!i" has a part of a class or id in WORDS.
+    """
     if name in APART or (name == "header" and not inside):
-        return True
+        return "!"
     if not a:
-        return False
+        return ""
     if "hidden" in a or a.get("role", "").lower() in ROLES or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
-        return True
-    if name in ("body", "html"):
-        return False
-    named = a.get("class", "") + " " + a.get("id", "")
-    return any(w.lower() in WORDS for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", named))
+        return "!"
+    if name in ("body", "html") or name in HEADINGS:
+        return ""
+    parts = [words(c) for c in a.get("class", "").split()]
+    if name in CONTAINERS and any(not WORDS.isdisjoint(x) and set(x) <= WORDS | NOUNS for x in parts):
+        return "!c"
+    if name in CONTAINERS:
+        parts.append(words(a.get("id", "")))
+    return "!i" if any(not WORDS.isdisjoint(x) for x in parts) else ""
 
 
 def events(page: str):
@@ -145,7 +162,7 @@ def events(page: str):
         yield from flush()
         a = attributes(m["rest"])
         inside = any(x[2] for x in stack)
-        off = "!" if beside(name, a, inside) else ""
+        off = beside(name, a, inside)
         stack.append((name, off, inside or (name in ("article", "main") and not off)))
         label = name + "".join(sorted("." + c for c in a.get("class", "").split()))
         yield ("open", label, off, label + "#" + re.sub(r"\d+", "0", a.get("id", "")) + off if off else label)
