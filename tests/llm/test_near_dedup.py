@@ -92,3 +92,14 @@ def test_signature_estimates_probability_jaccard():
     both = (x > 0) & (y > 0)
     jp = sum(1 / np.maximum(x / x[i], y / y[i]).sum() for i in np.flatnonzero(both))
     assert abs((sig[0] == sig[1]).mean() - jp) < 0.04
+
+
+def test_copies_that_repeat_a_line_otherwise_often(spark, make):
+    """The similarity is of sets, so how often a line is repeated must not cost a pair its candidates."""
+    r = random.Random(3)
+    rows = []
+    for k in range(60):
+        words = [f"p{r.randrange(10**6)}" for _ in range(300)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + words[-30:] * r.choice((50, 500))))]
+    assert brute(rows) == {d: {(d - d % 2, 2)} for d, _ in rows}
+    assert {x.doc_id: {(x.class_id, x.class_size)} for x in N.classes(make(rows)).collect()} == brute(rows)

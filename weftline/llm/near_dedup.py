@@ -1,9 +1,11 @@
-"""Near-duplicate classes: ProbMinHash signatures, banding, exact verification, connected components.
+"""Near-duplicate classes: ProbMinHash signatures of equal weights, banding, exact verification, connected components.
 
 Similarity is the Jaccard similarity of sets of five-word shingles (lower case, split at white space); documents are linked
 at THRESHOLD or more, and a class is a connected component of links. Documents with equal sets are one node from the start.
 
-Candidates are the members of a band bucket. Pairs inside a bucket are never listed as such:
+Candidates are the members of a band bucket. The registers weigh all shingles alike, so that two documents agree in a register
+with the similarity that is verified: a pair at THRESHOLD shares no band with a probability of (1 - THRESHOLD^ROWS)^BANDS, 3 in a
+million, and a nearer one with less, however often a line is repeated in either. Every pair that is compared is verified exactly. Pairs inside a bucket are never listed as such:
 * every member is verified against the bucket's leader, the member first by a hash order that all buckets share, so the same
   pairs come up in all bands and are verified once;
 * where that leaves a bucket in several parts, the members outside its largest part are compared with all members, in tiles
@@ -22,18 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import AT_SPACE, chunks, hashed_words, materialize, mix, ship, table, utf8
-from .minhash import SHINGLE, bands, shingles, signatures, weighted
+from .minhash import SHINGLE, bands, shingles, signatures
 
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
-#: Registers that a member must share with its leader to be verified: 4.7 standard deviations below what THRESHOLD leads to.
-AGREE = int(REGISTERS * (THRESHOLD - 4.7 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5))
 #: Queries and members that a tile compares, on average.
 QUERIES, MEMBERS = 256, 1024
 
 _U64 = np.uint64
-NODE = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+NODE = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def node_of(found: np.ndarray) -> bytes:
@@ -43,7 +43,7 @@ def node_of(found: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node, key (the first 64 bits of node), n, sig, bands of every row. Null text is empty; texts without words share one node with no bands."""
+    """doc_id, node, key (the first 64 bits of node), n, bands of every row. Null text is empty; texts without words share one node with no bands."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -51,18 +51,17 @@ def sketches(docs: DataFrame) -> DataFrame:
 
         for whole in batches:
             for batch in chunks(whole):
-                nodes, counts, sigs, found = [], [], [], []
+                nodes, counts, found = [], [], []
                 for first, end, hashes, offsets in hashed_words(utf8(batch.column(1).to_pylist(), lower=True), AT_SPACE):
-                    own = [weighted(hashes[offsets[i] : offsets[i + 1]]) for i in range(end - first)]
-                    at = np.cumsum([0] + [e.size for e, _ in own])
-                    sig = signatures(np.concatenate([e for e, _ in own]), np.concatenate([w for _, w in own]), at, REGISTERS)
-                    nodes += [node_of(e) for e, _ in own]
+                    own = [np.unique(shingles(hashes[offsets[i] : offsets[i + 1]])) for i in range(end - first)]
+                    at = np.cumsum([0] + [e.size for e in own])
+                    sig = signatures(np.concatenate(own), np.ones(at[-1]), at, REGISTERS)
+                    nodes += [node_of(e) for e in own]
                     counts += np.diff(at).tolist()
-                    sigs += [x.tobytes() for x in (sig & _U64(255)).astype(np.uint8)]
-                    found += [b if e.size else [] for b, (e, _) in zip(bands(sig, ROWS), own, strict=True)]
+                    found += [b if e.size else [] for b, e in zip(bands(sig, ROWS), own, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(nodes, pa.binary()), pa.array(np.frombuffer(b"".join(nodes), np.int64)[::2]), pa.array(counts, pa.int32()), pa.array(sigs, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-                    names=["doc_id", "node", "key", "n", "sig", "bands"],
+                    [batch.column(0), pa.array(nodes, pa.binary()), pa.array(np.frombuffer(b"".join(nodes), np.int64)[::2]), pa.array(counts, pa.int32()), pa.array(found, pa.list_(pa.int64()))],
+                    names=["doc_id", "node", "key", "n", "bands"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *NODE.fields]))
@@ -116,19 +115,6 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def agreeing(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the rows (a, b, sa, sb) whose signatures agree in AGREE registers."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, REGISTERS) for k in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= AGREE))
-
-    return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
-
-
 def tile(group):
     """Links between different parts that the queries of a tile have with its members."""
     import pyarrow as pa
@@ -212,11 +198,11 @@ def classes(docs: DataFrame) -> DataFrame:
     buckets = spread.groupBy("band").agg(F.min("key").alias("lead"), F.max("key").alias("other")).filter("lead <> other").drop("other")
     members = materialize(spread.join(buckets, "band").distinct(), "buckets")
     keys = members.select("key").distinct()
-    nodes = materialize(found.drop("bands").join(keys, "key", "left_semi").groupBy("key", "node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id")), "nodes")
+    nodes = materialize(found.drop("bands").join(keys, "key", "left_semi").groupBy("key", "node").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id")), "nodes")
     sets = materialize(sets_of(docs, nodes.select("doc_id", "node")), "sets")
-    side = lambda c: nodes.select(F.col("key").alias(f"k{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
+    side = lambda c: nodes.select(F.col("key").alias(f"k{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}"))
     star = members.select(F.col("key").alias("ka"), F.col("lead").alias("kb")).distinct().filter("ka <> kb").join(side("a"), "ka").join(side("b"), "kb")
-    star = agreeing(star.filter(F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")))
+    star = star.filter(F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")).select("a", "b")
     links = materialize(verified(star, sets), "links")
     first = links.groupBy("a").agg(F.min("b").alias("b"))
     ahead = first.select(F.col("a").alias("b"), F.col("b").alias("c"))
