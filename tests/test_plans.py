@@ -78,6 +78,29 @@ def test_token_bucket_stream_equals_batch(spark, tmp_path):
     assert norm(spark.table("limited").collect()) == norm(limiter.limit(df).collect())
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_every_box_is_looked_up(spark, duck):
+    """Nearest style boxes by comparing all pairs of a capture; every box, moved by 0 to 9 px, is looked up."""
+    rows = duck.sql(
+        "SELECT l_orderkey % 100 AS capture_id, row_number() OVER (PARTITION BY l_orderkey % 100 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord,"
+        " l_partkey % 1440 AS x, l_suppkey * 37 % 4000 AS y, l_partkey * 7 % 600 AS w, l_quantity * 4 AS h FROM lineitem"
+    ).fetchall()
+    captures = {}
+    for c, *box in rows:
+        captures.setdefault(c, []).append(box)
+    want = set()
+    for c, own in captures.items():
+        for ord_, x, y, w, h in own:
+            moved = ord_ % 10
+            a, b = x + moved % 5, y + moved // 5 * 5
+            dist, near = min((abs(a - s[1]) + abs(b - s[2]) + abs(w - s[3]) + abs(h - s[4]), s[0]) for s in own)
+            if dist <= 6:
+                want.add((c, ord_, near, dist))
+    got = registry.queries()["c4_nearest_box"](spark, DATA).collect()
+    assert {(r.capture_id, r.ord, r.style_ord, r.dist) for r in got} == want and len(got) == len(want)
+    assert {o % 5 for _, o, _, _ in want} == {0, 1, 2, 3, 4} and len(want) < len(rows)
+
+
 def test_llm_is_optional():
     import subprocess
     import sys

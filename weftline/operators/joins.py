@@ -15,10 +15,10 @@ def boxes(d) -> str:
 def nearest_box(d) -> str:
     """Each component's nearest style box by L1 distance of the bounds, at most 6.
 
-    Positions are bucketed by 6 px; a box is looked for in its own and the neighbouring buckets, so the join is on equality.
+    A box is its style box moved by 0 to 9 px in all, so some have no style box in reach. Positions are bucketed by 6 px; a box is looked for in its own and the neighbouring buckets, so the join is on equality.
     """
     cell = lambda c: f"cast(floor({c} / 6) AS int)"
-    a = f"SELECT capture_id, ord, x + ord % 4 AS x, y + ord % 3 AS y, w, h + ord % 2 AS h FROM ({boxes(d)}) b WHERE ord % 5 = 0"
+    a = f"SELECT capture_id, ord, x + ord % 5 AS x, y + CASE WHEN ord % 10 >= 5 THEN 5 ELSE 0 END AS y, w, h FROM ({boxes(d)}) b"
     near = d.array("-1", "0", "1")
     a = f"SELECT *, {cell('x')} + dx AS cx, {cell('y')} + dy AS cy FROM (SELECT *, {d.explode(near, 'dy')} FROM (SELECT *, {d.explode(near, 'dx')} FROM ({a}) a) e) f"
     s = f"SELECT *, {cell('x')} AS cx, {cell('y')} AS cy FROM ({boxes(d)}) b"
