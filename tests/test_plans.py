@@ -78,6 +78,31 @@ def test_token_bucket_stream_equals_batch(spark, tmp_path):
     assert norm(spark.table("limited").collect()) == norm(limiter.limit(df).collect())
 
 
+CACHE = "store long, client long, item string, event_id long, ts_ms long"
+
+
+def test_cache_by_hand(spark):
+    """A read does not renew an entry; the least recently used of 50 goes."""
+    minute = 60_000
+    rows = [(0, 1, "a", k, t * minute) for k, t in enumerate((0, 8, 16, 26))]
+    rows += [(1, 1, f"i{k}", 100 + k, k) for k in range(50)] + [(1, 1, "i0", 150, 60), (1, 1, "new", 151, 61), (1, 1, "i0", 152, 62), (1, 1, "i1", 153, 63)]
+    got = {r.event_id: r.hit for r in limiter.cached(spark.createDataFrame(rows, CACHE)).collect()}
+    assert [got[k] for k in range(4)] == [False, True, False, True]
+    assert not any(got[100 + k] for k in range(50)) and [got[k] for k in range(150, 154)] == [True, False, True, False]
+
+
+def test_cache_stream_equals_batch(spark, tmp_path):
+    df = spark.createDataFrame([(k % 2, k % 7, f"i{k * k % 31}", k, k * 9000) for k in range(600)], CACHE)
+    for part in range(3):
+        df.filter(f"event_id div 200 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = limiter.cached_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("cached").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    q.stop()
+    want = limiter.cached(df).collect()
+    assert norm(spark.table("cached").collect()) == norm(want) and {r.hit for r in want} == {True, False}
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_every_box_is_looked_up(spark, duck):
     """Nearest style boxes by comparing all pairs of a capture; every box, moved by 0 to 9 px, is looked up."""

@@ -2,6 +2,9 @@
 
 The bucket holds CAPACITY tokens and refills evenly over WINDOW_MS; a request spends one or is rejected with the seconds until one is
 there. The state of a client is its tokens and the time of its last request.
+
+The cache holds ENTRIES responses. A response is stored on a miss and served for TTL_MS from then on, however often it is read; a read
+only makes its item the most recently used. Where the cache is full, what has expired goes first, then what was used least recently.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ CAPACITY = 20
 WINDOW_MS = 60_000
 #: A cached response is served for TTL_MS.
 TTL_MS = 600_000
+#: Responses that a cache holds.
+ENTRIES = 50
 
 DECISIONS = "client long, request_id long, ts_ms long, allowed boolean, tokens double, retry_after_s int"
 
@@ -84,11 +89,62 @@ def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limit(requests_of(spark.read.parquet(f"{sf_dir}/events.parquet")))
 
 
-def cache(d) -> str:
-    """L3: a request is a hit when the same client asked for the same thing within the TTL before."""
-    ms = "unix_millis(cast(ts AS timestamp))" if d.spark else "epoch_ms(ts)"
-    r = f"SELECT user_id AS client, event_type AS item, event_id, {ms} AS ts_ms FROM {d.t('events')}"
-    return f"SELECT client, item, event_id, coalesce(ts_ms - lag(ts_ms) OVER (PARTITION BY client, item ORDER BY ts_ms, event_id) < {TTL_MS * 6 * 24}, false) AS hit FROM ({r}) r"
+HITS = "store long, client long, item string, event_id long, hit boolean"
+
+
+def look_up(held: dict, key, now_ms: int, ttl_ms: int = TTL_MS, entries: int = ENTRIES) -> bool:
+    """Whether the key is served from `held` (key -> last time it is served, the least recently used first), which is updated; a miss is stored."""
+    expires = held.pop(key, None)
+    if expires is not None and now_ms <= expires:
+        held[key] = expires
+        return True
+    if len(held) >= entries:
+        for k in [k for k, e in held.items() if now_ms > e]:
+            del held[k]
+        while len(held) >= entries:
+            del held[next(iter(held))]
+    held[key] = now_ms + ttl_ms
+    return False
+
+
+def cached(requests: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
+    """Hits of requests store, client, item, event_id, ts_ms; a store is one cache. Its sorted rows are folded in batches and never held."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        store, held = None, {}
+        for batch in batches:
+            hits = []
+            for s, client, item, now in zip(*[batch.column(k).to_pylist() for k in (0, 1, 2, 4)], strict=True):
+                if s != store:
+                    store, held = s, {}
+                hits.append(look_up(held, (client, item), now, ttl_ms))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(4)], pa.array(hits, pa.bool_())], names=["store", "client", "item", "event_id", "hit"])
+
+    return requests.select("store", "client", "item", "event_id", "ts_ms").repartition("store").sortWithinPartitions("store", "ts_ms", "event_id").mapInArrow(run, HITS)
+
+
+def cached_stream(requests: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
+    """The same on a stream. The state of a store is its entries in the order of their last use."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
+        held = {(c, i): e for c, i, e in zip(*state.get, strict=True)} if state.exists else {}
+        rows = pd.concat(list(frames)).sort_values(["ts_ms", "event_id"])
+        hits = [look_up(held, (c, i), now, ttl_ms) for c, i, now in rows[["client", "item", "ts_ms"]].itertuples(index=False, name=None)]
+        state.update(([int(c) for c, _ in held], [i for _, i in held], [int(e) for e in held.values()]))
+        yield rows[["store", "client", "item", "event_id"]].assign(hit=hits)
+
+    return requests.groupBy("store").applyInPandasWithState(step, HITS, "clients array<long>, items array<string>, expires array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3: one cache for all clients, as in the reference, so one task folds all requests; an item is asked for by a client."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = events.select(F.lit(0).cast("long").alias("store"), F.col("user_id").alias("client"), F.col("event_type").alias("item"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    return cached(rows, TTL_MS * 6 * 24).drop("store")
 
 
 def statuses(d) -> str:
@@ -96,5 +152,5 @@ def statuses(d) -> str:
     return f"SELECT conv_id, turn, CASE WHEN text IS NULL OR length(text) = 0 THEN 400 WHEN length(text) > 1000 THEN 413 WHEN role NOT IN ('user', 'assistant', 'system') THEN 422 ELSE 200 END AS status FROM {d.t('conversations')}"
 
 
-PLANS = {"l3_cache_hits": cache, "l6_statuses": statuses}
-FUNCTIONS = {"l1_token_bucket": token_bucket}
+PLANS = {"l6_statuses": statuses}
+FUNCTIONS = {"l1_token_bucket": token_bucket, "l3_cache_hits": cache_hits}
