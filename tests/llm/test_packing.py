@@ -43,7 +43,7 @@ def test_ids_are_the_tokenizers():
     t = Tokenizer.from_file(P.default_tokenizer())
     t.encode_special_tokens = True
     encode = P.encoder(P.default_tokenizer())
-    for x in ["", " ", "  a  b ", "it's\n\n x\t", "Größe ésprit 数据 🙂", "<|endoftext|>", "a" * 3000, "12 345"]:
+    for x in ["", " ", "  a  b ", "it's\n\n x\t", "Größe ésprit 数据 🙂", "<|endoftext|>", "a" * 3000, "12 345", " " * 1_500_000, "a" + "\n " * 800_000 + "b", "é" * 200_000]:
         assert encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
 
 
@@ -68,3 +68,46 @@ def test_pieces_and_places(spark, odd, make):
             at += length
         assert at <= 1024
     assert P.pack(P.pieces(make([]))).count() == 0
+
+
+def test_ids_of_the_small_tables(spark):
+    """Every text of the smallest table has the ids of `tokenizers`."""
+    t = Tokenizer.from_file(P.default_tokenizer())
+    t.encode_special_tokens = True
+    encode = P.encoder(P.default_tokenizer())
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    for x, own in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(x) == np.array(own.ids, "<u4").tobytes()
+
+
+def optimum(lengths, capacity):
+    """The fewest sequences, by trying every place for each length."""
+    best = [len(lengths)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(bins)
+            return
+        seen = set()
+        for k in range(len(bins)):
+            if bins[k] + lengths[i] <= capacity and bins[k] not in seen:
+                seen.add(bins[k])
+                bins[k] += lengths[i]
+                go(i + 1, bins)
+                bins[k] -= lengths[i]
+        bins.append(lengths[i])
+        go(i + 1, bins)
+        bins.pop()
+
+    go(0, [])
+    return best[0]
+
+
+def test_small_cases_against_the_optimum():
+    r = random.Random(8)
+    for _ in range(60):
+        lengths = sorted((r.randint(1, 20) for _ in range(r.randint(1, 9))), reverse=True)
+        best = optimum(lengths, 20)
+        assert best <= check(Counter(lengths), 20) <= best + 1
