@@ -1,18 +1,21 @@
 """Language-model scoring by subword lattices.
 
-The pieces of an existing tokenizer's vocabulary span a lattice over every word. A forward recursion in log space sums over all
-segmentations and gives the word's marginal probability M(word). Piece probabilities start from the vocabulary's own scores
-and are re-estimated by EM on the distinct words of the training documents, which are what new words look like. Words of the
-training documents are arcs of the lattice too, with their counts discounted by D = n1 / (n1 + 2 n2), where n1 and n2 words
-occur once and twice; what the discount frees goes to the pieces:
+The pieces of an existing tokenizer's vocabulary span a lattice over every word, led by the word-start mark, and no piece reaches
+over it, so the lattice of a text is the row of its words' lattices and the end. A forward recursion in log space sums over all
+segmentations; a text's score is the log probability of all of them together:
 
-    P(word) = max(c - D, 0) / N + D (V - 1) / N * M(word),    P(end) = c(end) / N
+    score(text) = sum over words of log10 M(word) + log10 p(end),    M(word) = sum over segmentations of the product of p(piece)
 
-which sums to one at most over all texts. A document's score is the sum over its words and its end.
+The pieces and the end share one distribution. It starts from the vocabulary's own scores and is re-estimated by ROUNDS of
+expectation-maximisation over every training word with its count, so all training documents weigh in. A vocabulary whose scores only
+rank its pieces (as a BPE's do) starts from a Zipf law over the ranks.
 
 Words are counted over all documents, so the tables grow with the corpus. Words with at least N / HEAD occurrences, of which
 there can be HEAD at most, are looked up where the text is read; the rest are joined by word. No word of the join can be
 frequent, so no partition is hot.
+
+The recursion runs over many words of one length at once, as arrays; a very long word goes through in blocks of places, so memory
+follows the block and a word may have any length.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, in_fold, materialize, ship, table, utf8
+from .common import chunks, in_fold, materialize, mix, ship, table, utf8
 
 FOLDS, HELD_OUT = 7, 2
 HEAD = 400_000
+ROUNDS = 3
 #: Words that a task counts before it passes them on.
 FLUSH = 300_000
 
@@ -39,9 +43,14 @@ def default_vocabulary() -> str:
 
 
 class Lattice:
-    """Pieces and their log probabilities. A word is led by the word-start mark; a character that is no piece is spelled in bytes."""
+    """Pieces and their log probabilities. A word is led by the word-start mark; a character that is no piece is spelled in bytes.
+
+    `log` has a value per piece of the vocabulary and, at its end, the end of the text.
+    """
 
     START = "▁"
+    #: Places of a lattice that are held at once.
+    BLOCK = 1 << 15
 
     def __init__(self, path: str):
         import sentencepiece
@@ -57,82 +66,128 @@ class Lattice:
                 self.bytes[int(piece[1:-1], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and self.START not in piece[1:] and not any("A" <= c <= "Z" for c in piece):
                 self.pieces[piece] = i
-        self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         used = sorted(self.pieces.values())
-        weight = np.zeros(scores.size)
+        weight = np.zeros(scores.size + 1)
         if scores[used].min() < -1000:  # scores that only give the rank of a piece: a Zipf law
             weight[used] = 1 / (10 + np.argsort(np.argsort(-scores[used], kind="stable"), kind="stable"))
         else:
             weight[used] = np.exp(scores[used] - scores[used].max())
         spelled = list(self.bytes.values())
         weight[spelled] = 0.001 * weight.sum() / max(1, len(spelled))
+        weight[-1] = 0.001 * weight.sum()
         self.prior = weight / weight.sum()
         self.log = self.logs(self.prior)
+        self.longest = max(map(len, self.pieces))
+        # pieces by the hash of their characters, and a table of bits that drops nearly all other strings before the search
+        keys = np.array([self.hashed(np.array([[*map(ord, x)]], np.uint64))[-1][0, 0] for x in self.pieces], np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], np.array(list(self.pieces.values()), np.int32)[order]
+        if np.unique(keys).size < keys.size:
+            raise ValueError("two pieces share a hash")
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[self.keys >> np.uint64(42)] = True
 
     @staticmethod
-    def logs(p: np.ndarray) -> list[float]:
-        return np.log(np.maximum(p, 1e-30)).tolist()
-
-    def arcs(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end: (start, log probability, pieces) of the arcs that lead there."""
-        text, n = self.START + word, len(word) + 1
-        out: list[list] = [[] for _ in range(n + 1)]
-        pieces, prefixes, log = self.pieces, self.prefixes, self.log
-        for i in range(n):
-            alone = False
-            for j in range(i + 1, n + 1):
-                part = text[i:j]
-                if part not in prefixes:
-                    break
-                k = pieces.get(part)
-                if k is not None:
-                    out[j].append((i, log[k], (k,)))
-                    alone |= j == i + 1
-            if not alone:
-                ids = tuple(self.bytes[b] for b in text[i].encode())
-                out[i + 1].append((i, sum(log[k] for k in ids), ids))
+    def logs(p: np.ndarray) -> np.ndarray:
+        return np.log(np.maximum(p, 1e-30))
+
+    @staticmethod
+    def hashed(text: np.ndarray, most: int | None = None) -> list[np.ndarray]:
+        """For each length the hashes of the runs of that many characters (words by places)."""
+        out, value = [], np.zeros_like(text)
+        for size in range(1, min(most or text.shape[1], text.shape[1]) + 1):
+            many = text.shape[1] - size + 1
+            value = value[:, :many] * np.uint64(0x9E3779B97F4A7C15) + text[:, size - 1 :] + np.uint64(1)
+            out.append(mix(value))
         return out
 
-    def forward(self, arcs: list) -> list[float]:
-        """log of the summed probability of all ways to reach each place."""
-        exp, logarithm = math.exp, math.log
-        a = [0.0] * len(arcs)
-        for j in range(1, len(arcs)):
-            into = [a[i] + p for i, p, _ in arcs[j]]
-            if len(into) == 1:
-                a[j] = into[0]
-            elif into:
-                top = max(into)
-                a[j] = top + logarithm(sum([exp(x - top) for x in into]))
-            else:
-                a[j] = -math.inf
+    def arcs(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece (or -1) and log probability of every arc: word, place where it starts, length less one. Spelled characters have -2."""
+        words, n = text.shape
+        wide = min(n, self.longest)
+        piece = np.full((words, n, wide), -1, np.int32)
+        for k, key in enumerate(self.hashed(text, wide)):
+            w, i = np.nonzero(self.bits[key >> np.uint64(42)])
+            found = key[w, i]
+            at = np.minimum(np.searchsorted(self.keys, found), self.keys.size - 1)
+            real = self.keys[at] == found
+            piece[w[real], i[real], k] = self.ids[at[real]]
+        logp = np.where(piece >= 0, self.log[piece], -np.inf)
+        w, i = np.nonzero(piece[:, :, 0] < 0)
+        if w.size:
+            chars, back = np.unique(text[w, i], return_inverse=True)
+            logp[w, i, 0] = np.array([sum(self.log[self.bytes[b]] for b in chr(c).encode()) for c in chars.tolist()])[back]
+            piece[w, i, 0] = -2
+        return piece, logp
+
+    def forward(self, text: np.ndarray) -> np.ndarray:
+        """log of the summed probability of all ways to reach each place (words by places and one)."""
+        words, n = text.shape
+        a = np.zeros((words, n + 1))
+        for lo in range(0, n, self.BLOCK):
+            hi = min(n, lo + self.BLOCK)
+            before = max(0, lo - self.longest + 1)  # arcs from there reach into this block
+            _, logp = self.arcs(text[:, before : min(n, hi + self.longest)])
+            wide = logp.shape[2]
+            for j in range(lo + 1, hi + 1):
+                many = min(j, wide)
+                into = np.stack([a[:, j - k] + logp[:, j - k - before, k - 1] for k in range(1, many + 1)])
+                top = into.max(0)
+                a[:, j] = top + np.log(np.exp(into - top).sum(0))
         return a
 
-    def marginal(self, word: str) -> float:
-        """Natural log of M(word)."""
-        return self.forward(self.arcs(word))[-1]
-
-    def expect(self, word: str, times: float, into: np.ndarray) -> None:
-        """Adds the expected piece counts of `times` occurrences."""
-        arcs = self.arcs(word)
-        a = self.forward(arcs)
-        n = len(a)
-        share = [0.0] * n  # probability that a segmentation passes here
-        share[-1] = times
-        for j in range(n - 1, 0, -1):
-            if share[j] <= 0:
+    def expect(self, text: np.ndarray, times: np.ndarray, into: np.ndarray) -> None:
+        """Adds the expected counts of pieces of words that occur `times`."""
+        words, n = text.shape
+        a = self.forward(text)
+        share = np.zeros((words, n + 1))  # expected number of segmentations that pass a place
+        share[:, n] = times
+        for hi in range(n, 0, -self.BLOCK):
+            lo = max(0, hi - self.BLOCK)
+            before = max(0, lo - self.longest + 1)
+            part = text[:, before : min(n, hi + self.longest)]
+            piece, logp = self.arcs(part)
+            passed = np.zeros_like(logp)
+            for j in range(hi, lo, -1):
+                for k in range(1, min(j, logp.shape[2]) + 1):
+                    i = j - k
+                    x = share[:, j] * np.exp(a[:, i] + logp[:, i - before, k - 1] - a[:, j])
+                    share[:, i] += x
+                    passed[:, i - before, k - 1] = x
+            real = piece >= 0
+            into += np.bincount(piece[real], passed[real], into.size)
+            w, i = np.nonzero(piece[:, :, 0] == -2)
+            for c, x in zip(part[w, i].tolist(), passed[w, i, 0].tolist(), strict=True):
+                for b in chr(c).encode():
+                    into[self.bytes[b]] += x
+
+    def grouped(self, words: list[str], cells: int = 1 << 17):
+        """(places in `words`, their characters as an array) of words of one length, about `cells` characters at once."""
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        order = np.argsort(size, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+            if not own.size:
                 continue
-            for i, p, ids in arcs[j]:
-                x = share[j] * math.exp(a[i] + p - a[j])
-                share[i] += x
-                for k in ids:
-                    into[k] += x
+            n = int(size[own[0]])
+            step = max(1, cells // (n * min(n, self.longest)))
+            for lo in range(0, own.size, step):
+                part = own[lo : lo + step]
+                data = "".join(self.START + words[k] for k in part.tolist()).encode("utf-32-le", "surrogatepass")
+                yield part, np.frombuffer(data, "<u4").reshape(part.size, n).astype(np.uint64)
+
+    def marginals(self, words: list[str]) -> np.ndarray:
+        """Natural log of M(word) of each word."""
+        out = np.zeros(len(words))
+        for own, text in self.grouped(words):
+            out[own] = self.forward(text)[:, -1]
+        return out
 
 
 _LATTICES: dict[str, Lattice] = {}
 
 
 def lattice(path: str, p: np.ndarray | None = None) -> Lattice:
+    """One lattice per worker process and vocabulary, with the given piece probabilities."""
     if path not in _LATTICES:
         _LATTICES[path] = Lattice(path)
     out = _LATTICES[path]
@@ -175,8 +230,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit(words: DataFrame, path: str, rounds: int = 1, prior_mass: float = 200.0) -> np.ndarray:
-    """Piece probabilities after `rounds` of EM over all distinct training words; only sums per piece reach the driver."""
+def fit(words: DataFrame, path: str, ends: int, rounds: int = ROUNDS, prior_mass: float = 200.0) -> np.ndarray:
+    """Probabilities of pieces and the end after `rounds` of expectation-maximisation; only sums per piece reach the driver."""
     p = lattice(path).prior
     rows = words.filter("c > 0")
     for _ in range(rounds):
@@ -187,35 +242,32 @@ def fit(words: DataFrame, path: str, rounds: int = 1, prior_mass: float = 200.0)
             own = lattice(path, p)
             total = np.zeros(p.size)
             for batch in batches:
-                for word in batch.column(0).to_pylist():
-                    own.expect(word.decode("utf-8", "replace"), 1.0, total)
+                found = [x.decode("utf-8", "replace") for x in batch.column(0).to_pylist()]
+                times = batch.column(1).to_numpy().astype(float)
+                for at, text in own.grouped(found):
+                    own.expect(text, times[at], total)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["piece", "x"])
 
         got = rows.mapInArrow(run, "piece int, x double").groupBy("piece").agg(F.sum("x").alias("x")).collect()
         total = lattice(path).prior * prior_mass
-        for r in got:
+        for r in sorted(got):
             total[r["piece"]] += r["x"]
+        total[-1] += ends
         p = total / total.sum()
     return p
 
 
-def word_scores(words: DataFrame, path: str, p: np.ndarray, n: int, v: int, discount: float) -> DataFrame:
-    """word, c, lp: log10 P(word) of every word."""
+def word_scores(words: DataFrame, path: str, p: np.ndarray) -> DataFrame:
+    """word, c, lp: log10 M(word) of every word."""
 
     def run(batches):
         import pyarrow as pa
 
         own = lattice(path, p)
-        mass = discount * max(0, v - 1) / n if n else 1.0
         for batch in batches:
-            out = []
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                spelled = own.marginal(word.decode("utf-8", "replace")) + math.log(mass) if mass > 0 else -math.inf
-                counted = math.log((c - discount) / n) if c else -math.inf
-                top = max(spelled, counted)
-                out.append((top + math.log(math.exp(spelled - top) + math.exp(counted - top))) / math.log(10))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["word", "c", "lp"])
+            found = own.marginals([x.decode("utf-8", "replace") for x in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found / math.log(10))], names=["word", "c", "lp"])
 
     return words.mapInArrow(run, "word binary, c long, lp double")
 
@@ -230,12 +282,12 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     words = materialize(word_counts(docs), "words")
     ends = docs.filter(~in_fold(F.col("doc_id"), FOLDS, HELD_OUT)).count()
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     n, v = total[0] + ends, total[1] + (ends > 0)
-    discount = total[2] / (total[2] + 2 * total[3]) if total[2] and total[3] else 0.75
-    scored = materialize(word_scores(words, path, fit(words, path), n, v, discount), "word-scores")
+    p = fit(words, path, ends)
+    scored = materialize(word_scores(words, path, p), "word-scores")
     base_of = lambda c: math.log10((c + 1) / (n + v + 1))
-    end = (math.log10(ends / n) if ends else 0.0, base_of(ends))
+    end = (math.log10(p[-1]), base_of(ends))
     least = max(1, -(-n // HEAD))
     head = spark.sparkContext.broadcast({bytes(r["word"]): (r["c"], r["lp"]) for r in scored.filter(F.col("c") >= least).toLocalIterator()})  # HEAD words at most
 
