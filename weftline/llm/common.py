@@ -8,17 +8,24 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Deleting these characters is how texts are normalised, and splitting at them how words are found.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset a local session gets a temporary folder; on a cluster that would be another folder on every machine, so there it
+    is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weftline-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -32,13 +39,44 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: a cut of lineage that outlives executors."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Removes the tables that this application's operators have written between their steps; results must have been read or written by then."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Names of the columns of a row's identity.
+IDENTITY = ("_identity_a", "_identity_b")
+
+
+def identity() -> list[Column]:
+    """128 bits of doc_id and text, never null: rows share them that are the same document, however often it or its doc_id occurs."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64("doc_id", text).alias(IDENTITY[0]), F.xxhash64(F.lit(7), "doc_id", text).alias(IDENTITY[1])]
+
+
+def picked(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of `docs` whose identity is in `kept`, with all their columns; of rows of one identity any one."""
+    a, b = IDENTITY
+    rows = docs.select("*", *identity()).join(kept.select(a, b), [a, b], "left_semi")
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(a, b).orderBy(a)))
+    return rows.filter("_place = 1").select(*[docs[c] for c in docs.columns])
+
+
 def in_fold(key: Column, of: int, remainder: int) -> Column:
     """crc32 of the key's decimal text, modulo `of`, is `remainder`; a null key counts as an empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % of == remainder

@@ -1,8 +1,13 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a table bucketed and sorted by digest with one row per distinct text. New data is reduced to one row per
-digest (partial aggregation runs before the shuffle, so a text with millions of copies is a few rows per task), joined to
-the index by a sort-merge anti-join that needs no exchange on the index's side, and what is new is appended.
+The index is a table in the warehouse, bucketed and sorted by digest, with one row per distinct text and a partition per batch. New
+data is reduced to one row per digest (partial aggregation runs before the shuffle, so a text with millions of copies is a few rows
+per task), joined to the index by a sort-merge anti-join that needs no exchange on the index's side, and what is new is appended as
+the batch's partition. The result is then read from the index. A batch that runs again replaces its own partition and nothing
+else, so a job that is retried gives the same rows.
+
+Rows find their group's entry by a join on the digest. Groups that hold more than one in HOT rows, of which there are fewer than
+HOT, are broadcast instead, so no task of the join holds more than that share however large a group of copies is.
 
 Only DataFrame functions run here.
 """
@@ -14,7 +19,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, materialize, table
+from .common import IDENTITY, SPACE_CHARS, identity, materialize, picked, table
+
+#: Groups with more than one row in HOT are joined by broadcast; there are fewer than HOT of them.
+HOT = 1024
 
 
 def normalised(text: Column) -> Column:
@@ -23,85 +31,107 @@ def normalised(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A digest index kept in the warehouse, written once per batch and never rewritten.
+    """A digest index kept in the warehouse: text_sha256, doc_id, group_size, batch.
 
-    `buckets` sets how many sorted buckets a batch is appended in; every batch uses the same number.
+    `buckets` sets how many sorted buckets a batch is written in when the index is made: the session's shuffle partitions if unset.
     """
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = 16):
-        self.spark, self.name, self.buckets = spark, name, buckets
+    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
+        self.spark, self.name = spark, name
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
+    def create(self, key: str = "bigint") -> None:
+        """Makes the empty index where there is none."""
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.name} (text_sha256 STRING, doc_id {key}, group_size BIGINT, batch STRING) USING parquet "
+            f"PARTITIONED BY (batch) CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS"
+        )
+
     def read(self) -> DataFrame:
         return self.spark.read.table(self.name)
 
-    def append(self, rows: DataFrame) -> None:
-        (
-            rows.repartition(self.buckets, "text_sha256")
-            .write.mode("append")
-            .format("parquet")
-            .bucketBy(self.buckets, "text_sha256")
-            .sortBy("text_sha256")
-            .saveAsTable(self.name)
-        )
+    def others(self, batch: str) -> DataFrame:
+        """The entries of all batches but this one."""
+        return self.read().filter(F.col("batch") != batch)
+
+    def put(self, rows: DataFrame, batch: str) -> None:
+        """Makes the rows (text_sha256, doc_id, group_size) the batch's partition, in place of what it held; a write that fails changes nothing."""
+        view = f"digests_{uuid.uuid4().hex}"
+        rows.select("text_sha256", "doc_id", "group_size").createOrReplaceTempView(view)
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self.name} PARTITION (batch = '{batch}') SELECT text_sha256, doc_id, group_size FROM {view}")
+        self.spark.catalog.dropTempView(view)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, code points of the original text and the digest of the normalised one."""
+    """row (any unique number), doc_id, code points of the original text, the digest of the normalised one, and the row's identity."""
+    text = F.coalesce("text", F.lit(""))
     return docs.select(
+        F.monotonically_increasing_id().alias("row"),
         "doc_id",
-        F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"),
+        F.char_length(text).cast("long").alias("n_points"),
         F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256).alias("text_sha256"),
+        *identity(),
     )
 
 
-def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """Marks each row of `docs` as kept or dropped and appends the new digests to the index.
+def grouped(rows: DataFrame) -> DataFrame:
+    """text_sha256, keep (row and doc_id of the row that stays), group_size."""
+    order = F.struct(-F.col("n_points"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+    return rows.groupBy("text_sha256").agg(F.min_by(F.struct("row", "doc_id"), order).alias("keep"), F.count(F.lit(1)).alias("group_size"))
 
-    Returns a row per input row: doc_id, keep_id, group_size, kept, text_sha256, known. Of equal texts that were not in the
-    index, the row with the most code points stays, then the one with the smallest doc_id (a null doc_id comes last).
-    Of rows that repeat the winner's doc_id within one group, every row counts as kept: they are the same document.
-    Where the index already holds the text, keep_id is the indexed doc_id and no new row stays. Null text is empty text;
-    empty texts equal each other. An empty table gives an empty result. Columns other than doc_id and text are not read.
-    """
+
+def matched(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows with the columns of their group (text_sha256, group_size and more), large groups by broadcast."""
+    total = rows.count()
+    many = F.col("group_size") * HOT > F.lit(total)
+    hot = F.broadcast(groups.filter(many))  # fewer than HOT rows
+    rest = rows.join(hot.select("text_sha256"), "text_sha256", "left_anti").join(groups.filter(~many).hint("merge"), "text_sha256")
+    return rows.join(hot, "text_sha256").unionByName(rest)
+
+
+def marked(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
+    """What `dedup` returns, with the rows' identities."""
+    index.create(docs.schema["doc_id"].dataType.simpleString())
     rows = materialize(digests(docs), "digests")
-    order = F.struct(-F.col("n_points"), F.col("doc_id").isNull(), F.col("doc_id"))
-    batch = rows.groupBy("text_sha256").agg(F.min_by("doc_id", order).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    if index.exists():
-        new = batch.join(index.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
-    else:
-        new = batch
-    new = materialize(new, "new-digests")
-    old = None
-    if index.exists():
-        old = index.read().select("text_sha256", F.col("doc_id").alias("old_id"))
-    index.append(new.select("text_sha256", F.col("keep_id").alias("doc_id"), "group_size"))
-    if old is None:
-        groups = new.withColumn("known", F.lit(False))
-    else:
-        groups = batch.join(new.select("text_sha256", F.lit(True).alias("fresh")), "text_sha256", "left")
-        groups = groups.join(old.hint("merge"), "text_sha256", "left").select(
-            "text_sha256", F.when(F.col("fresh"), F.col("keep_id")).otherwise(F.col("old_id")).alias("keep_id"), "group_size", F.col("fresh").isNull().alias("known")
-        )
-    return rows.join(groups, "text_sha256").select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("known")).alias("kept"), "text_sha256", "known"
-    )
+    groups = materialize(grouped(rows), "groups")
+    new = materialize(groups.join(index.others(batch).select("text_sha256").hint("merge"), "text_sha256", "left_anti"), "new-digests")
+    index.put(new.select("text_sha256", F.col("keep.doc_id").alias("doc_id"), "group_size"), batch)
+    entries = index.read().select("text_sha256", F.col("doc_id").alias("keep_id"), (F.col("batch") != batch).alias("known"))
+    found = groups.join(entries.hint("merge"), "text_sha256").select("text_sha256", "keep_id", "group_size", "known", F.col("keep.row").alias("_keep"))
+    return matched(rows, found).select("doc_id", "keep_id", "group_size", ((F.col("row") == F.col("_keep")) & ~F.col("known")).alias("kept"), "text_sha256", "known", *IDENTITY)
+
+
+def dedup(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
+    """Marks each row of `docs` as kept or dropped and adds the new digests to the index, as the batch's entries.
+
+    Returns a row per input row: doc_id, keep_id, group_size, kept, text_sha256, known. Of equal texts that no other batch of the
+    index holds, one row stays: that with the most code points, then the smallest doc_id (a null doc_id comes last); of rows equal
+    in both, any one. Where another batch holds the text, keep_id is the indexed doc_id and no new row stays. Running a batch again
+    gives the same rows and leaves the same index. Null text is empty text; empty texts equal each other. An empty table gives an
+    empty result. Columns other than doc_id and text are not read.
+    """
+    return marked(docs, index, batch or uuid.uuid4().hex).drop(*IDENTITY)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    return dedup(table(spark, sf_dir, "documents"), index).drop("known")
+    out = materialize(dedup(table(spark, sf_dir, "documents"), index, "documents").drop("known"), "exact-dedup")
+    index.drop()  # it served this call alone
+    return out
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts."""
-    kept = dedup(docs, DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Keeps one row of each group of equal texts, also where doc_ids repeat."""
+    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    kept = materialize(marked(docs, index, "documents").filter("kept").select(*IDENTITY), "exact-kept")
+    index.drop()
+    return picked(docs, kept)
 
 
 ORACLE_SQL = """
