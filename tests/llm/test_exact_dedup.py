@@ -51,7 +51,7 @@ def test_a_batch_that_runs_again(spark, make):
 
 
 def test_large_groups_by_broadcast(spark, make, monkeypatch):
-    monkeypatch.setattr(X, "HOT", 4)
+    monkeypatch.setattr("weftline.llm.common.HOT", 4)
     rows = [(k, "same") for k in range(30)] + [(k, f"own {k % 25}") for k in range(30, 70)]
     assert rows_of(X.dedup(make(rows), X.DigestIndex(spark, "ix_hot", 4))) == brute(rows)
 

@@ -77,6 +77,21 @@ def picked(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return rows.filter("_place = 1").select(*[docs[c] for c in docs.columns])
 
 
+#: Groups with more than one row in HOT are joined by broadcast; there are fewer than HOT of them.
+HOT = 1024
+
+
+def matched(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Rows with the columns of their group (`key`, its number of rows `size`, and more). Large groups, fewer than HOT, by broadcast.
+
+    So no task of the join holds more than one row in HOT of a single group, however large it is.
+    """
+    many = F.col(size) * HOT > F.lit(rows.count())
+    hot = F.broadcast(groups.filter(many))
+    rest = rows.join(hot.select(key), key, "left_anti").join(groups.filter(~many).hint("merge"), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def in_fold(key: Column, of: int, remainder: int) -> Column:
     """crc32 of the key's decimal text, modulo `of`, is `remainder`; a null key counts as an empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % of == remainder

@@ -19,11 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IDENTITY, SPACE_CHARS, identity, materialize, picked, table
-
-#: Groups with more than one row in HOT are joined by broadcast; there are fewer than HOT of them.
-HOT = 1024
-
+from .common import IDENTITY, SPACE_CHARS, identity, matched, materialize, picked, table
 
 def normalised(text: Column) -> Column:
     """The text without white space characters; null counts as empty."""
@@ -86,15 +82,6 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.groupBy("text_sha256").agg(F.min_by(F.struct("row", "doc_id"), order).alias("keep"), F.count(F.lit(1)).alias("group_size"))
 
 
-def matched(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows with the columns of their group (text_sha256, group_size and more), large groups by broadcast."""
-    total = rows.count()
-    many = F.col("group_size") * HOT > F.lit(total)
-    hot = F.broadcast(groups.filter(many))  # fewer than HOT rows
-    rest = rows.join(hot.select("text_sha256"), "text_sha256", "left_anti").join(groups.filter(~many).hint("merge"), "text_sha256")
-    return rows.join(hot, "text_sha256").unionByName(rest)
-
-
 def marked(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
     """What `dedup` returns, with the rows' identities."""
     index.create(docs.schema["doc_id"].dataType.simpleString())
@@ -104,7 +91,7 @@ def marked(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
     index.put(new.select("text_sha256", F.col("keep.doc_id").alias("doc_id"), "group_size"), batch)
     entries = index.read().select("text_sha256", F.col("doc_id").alias("keep_id"), (F.col("batch") != batch).alias("known"))
     found = groups.join(entries.hint("merge"), "text_sha256").select("text_sha256", "keep_id", "group_size", "known", F.col("keep.row").alias("_keep"))
-    return matched(rows, found).select("doc_id", "keep_id", "group_size", ((F.col("row") == F.col("_keep")) & ~F.col("known")).alias("kept"), "text_sha256", "known", *IDENTITY)
+    return matched(rows, found, "text_sha256", "group_size").select("doc_id", "keep_id", "group_size", ((F.col("row") == F.col("_keep")) & ~F.col("known")).alias("kept"), "text_sha256", "known", *IDENTITY)
 
 
 def dedup(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:

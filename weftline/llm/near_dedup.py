@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import AT_SPACE, chunks, hashed_words, materialize, mix, ship, table, utf8
+from .common import AT_SPACE, HOT, IDENTITY, chunks, hashed_words, identity, matched, materialize, mix, picked, ship, table, utf8
 from .minhash import SHINGLE, bands, shingles, signatures
 
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
+#: Parts that the pairs of a very frequent leader are dealt over.
+SALTS = 64
 #: Queries and members that a tile compares, on average.
 QUERIES, MEMBERS = 256, 1024
 
@@ -43,7 +45,7 @@ def node_of(found: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node, key (the first 64 bits of node), n, bands of every row. Null text is empty; texts without words share one node with no bands."""
+    """row (any unique number), doc_id, identity, node, key (the first 64 bits of node), n, bands of every row. Null text is empty; texts without words share one node with no bands."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -52,7 +54,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in chunks(whole):
                 nodes, counts, found = [], [], []
-                for first, end, hashes, offsets in hashed_words(utf8(batch.column(1).to_pylist(), lower=True), AT_SPACE):
+                for first, end, hashes, offsets in hashed_words(utf8(batch.column(4).to_pylist(), lower=True), AT_SPACE):
                     own = [np.unique(shingles(hashes[offsets[i] : offsets[i + 1]])) for i in range(end - first)]
                     at = np.cumsum([0] + [e.size for e in own])
                     sig = signatures(np.concatenate(own), np.ones(at[-1]), at, REGISTERS)
@@ -60,15 +62,16 @@ def sketches(docs: DataFrame) -> DataFrame:
                     counts += np.diff(at).tolist()
                     found += [b if e.size else [] for b, e in zip(bands(sig, ROWS), own, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(nodes, pa.binary()), pa.array(np.frombuffer(b"".join(nodes), np.int64)[::2]), pa.array(counts, pa.int32()), pa.array(found, pa.list_(pa.int64()))],
-                    names=["doc_id", "node", "key", "n", "bands"],
+                    [*batch.columns[:4], pa.array(nodes, pa.binary()), pa.array(np.frombuffer(b"".join(nodes), np.int64)[::2]), pa.array(counts, pa.int32()), pa.array(found, pa.list_(pa.int64()))],
+                    names=["row", "doc_id", *IDENTITY, "node", "key", "n", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *NODE.fields]))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *identity(), "text")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:4], *NODE.fields]))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, sh (sorted 32-bit shingle hashes) of the wanted (doc_id, node); a row whose text is another's is left out."""
+    """node, sh (sorted 32-bit shingle hashes) of the wanted nodes, each given with the identity of a row that has it."""
 
     def run(batches):
         import pyarrow as pa
@@ -83,9 +86,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                             out.append((nodes[first + i], np.unique((found >> _U64(32)).astype(np.uint32)).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["node", "sh"])
 
-    wanted = wanted.withColumnRenamed("doc_id", "_id")
-    docs = docs.select("doc_id", "text")
-    rows = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"])).select("text", "node")
+    rows = docs.select(*identity(), "text").join(wanted, [*IDENTITY]).select("text", "node")
     found = rows.mapInArrow(run, "node binary, sh binary")
     return found.groupBy("node").agg(F.min("sh").alias("sh"))
 
@@ -101,7 +102,10 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches the threshold."""
+    """The pairs (a, b) whose exact similarity reaches the threshold.
+
+    A leader b of more than one pair in HOT, of which there are fewer than HOT, has its pairs dealt over SALTS parts.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -111,8 +115,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 same = [jaccard(x, y) >= THRESHOLD for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
                 yield batch.select([0, 1]).filter(pa.array(same, pa.bool_()))
 
-    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("sh").alias("sb")), "b")
-    return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    pairs = materialize(pairs, "pairs")
+    hot = F.broadcast(pairs.groupBy("b").count().filter(F.col("count") * HOT > F.lit(pairs.count())).select("b", F.lit(SALTS).alias("salts")))
+    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("sa")), "a").join(hot, "b", "left")
+    rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"), F.lit(0)))
+    leads = sets.select(F.col("node").alias("b"), F.col("sh").alias("sb")).join(pairs.select("b").distinct(), "b", "left_semi").join(hot, "b", "left")
+    leads = leads.select("b", "sb", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)).alias("salt"))
+    return rows.join(leads, ["b", "salt"]).select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
 def tile(group):
@@ -190,16 +199,22 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size, kept of every row; class_id is the smallest doc_id of the class (null only where all are null).
 
-    Of rows that repeat the class's doc_id with texts of the same class, each counts as kept. Null text is empty text, and
-    texts without words form one class. An empty table gives an empty result. Other columns are not read.
+    One row of a class is kept: the one with class_id; of several such rows any one. Null text is empty text, and texts without
+    words form one class. An empty table gives an empty result. Other columns are not read.
     """
+    return labelled(docs).drop(*IDENTITY)
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """What `classes` returns, with the rows' identities."""
     found = materialize(sketches(docs), "sketches")
-    spread = found.select("key", F.explode("bands").alias("band"))
+    every = found.groupBy("key", "node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct(*IDENTITY)).alias("of"), F.count(F.lit(1)).alias("copies"))
+    every = materialize(every, "nodes")
+    spread = every.select("key", F.explode("bands").alias("band"))
     buckets = spread.groupBy("band").agg(F.min("key").alias("lead"), F.max("key").alias("other")).filter("lead <> other").drop("other")
-    members = materialize(spread.join(buckets, "band").distinct(), "buckets")
-    keys = members.select("key").distinct()
-    nodes = materialize(found.drop("bands").join(keys, "key", "left_semi").groupBy("key", "node").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id")), "nodes")
-    sets = materialize(sets_of(docs, nodes.select("doc_id", "node")), "sets")
+    members = materialize(spread.join(buckets, "band"), "buckets")
+    nodes = materialize(every.drop("bands", "copies").join(members.select("key").distinct(), "key", "left_semi"), "shared")
+    sets = materialize(sets_of(docs, nodes.select("of.*", "node")), "sets")
     side = lambda c: nodes.select(F.col("key").alias(f"k{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}"))
     star = members.select(F.col("key").alias("ka"), F.col("lead").alias("kb")).distinct().filter("ka <> kb").join(side("a"), "ka").join(side("b"), "kb")
     star = star.filter(F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")).select("a", "b")
@@ -209,10 +224,12 @@ def classes(docs: DataFrame) -> DataFrame:
     parts = first.join(ahead, "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("part"))
     more = strays(members.join(nodes.select("key", "node"), "key").select("band", "node", (F.col("key") == F.col("lead")).alias("lead")), parts, sets)
     part = components(links.unionByName(more))
-    labelled = found.select("doc_id", "node").join(part, "node", "left").select("doc_id", F.coalesce("part", "node").alias("part"))
-    labelled = materialize(labelled, "labelled")
-    groups = labelled.groupBy("part").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return labelled.join(groups, "part").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    parted = materialize(every.select("node", "copies").join(part, "node", "left").select("node", "copies", F.coalesce("part", "node").alias("part")), "parts")
+    rows = matched(found.select("row", "doc_id", *IDENTITY, "node"), parted, "node", "copies").drop("node", "copies")
+    rows = materialize(rows, "labelled")
+    groups = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("lead"), F.count(F.lit(1)).alias("class_size"))
+    out = matched(rows, groups, "part", "class_size")
+    return out.select("doc_id", F.col("lead.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("lead.row")).alias("kept"), *IDENTITY)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,6 +237,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one with the smallest doc_id."""
-    kept = classes(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """One row of each class stays: that with the smallest doc_id."""
+    return picked(docs, labelled(docs).filter("kept"))
