@@ -88,3 +88,50 @@ def test_ids_and_headings_do_not_name_blocks_inside_an_article():
     assert read([page])[0] == H.extract(page, {})
     pages = [f"<article><h1>Title {k}</h1><p>{prose(k)}</p><div class=related>{'See ' + str(k)}</div>{'<section class=discussion><p>Only here</p></section>' if k == 1 else ''}</article>" for k in range(4)]
     assert read(pages) == [f"Title {k}\n\n{prose(k)}" + ("\n\nOnly here" if k == 1 else "") for k in range(4)]
+
+
+def test_a_repeated_group_of_several_elements_meets_one_occurrence():
+    many, one = (H.wrapper_of(f"<body><article>{''.join(f'<h2>{t}{k}</h2><p>{t}{k}x</p>' for k in range(n))}</article></body>") for t, n in (("a", 5), ("b", 1)))
+    for w in (H.merged(many, one), H.merged(one, many)):
+        (group,) = w[2][0][2][0][2]
+        assert group[:2] == ["(h2 p)", "+"] and [x[:2] for x in group[2]] == [["h2", ""], ["p", ""]]
+        assert group[2][0][2][0][2] is None  # a slot
+    assert H.unflat(H.flat(w)) == w
+
+
+def longest(a, b):
+    size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            size[i][j] = size[i + 1][j + 1] + 1 if a[i] == b[j] else max(size[i + 1][j], size[i][j + 1])
+    return size[0][0]
+
+
+def test_alignment_against_the_definition(monkeypatch):
+    import random
+
+    r = random.Random(3)
+    for cells in (1 << 20, 4):
+        monkeypatch.setattr(H, "CELLS", cells)
+        for _ in range(300):
+            a, b = (r.choices("pqrstuv", k=r.randint(0, 12)) for _ in range(2))
+            got = H.matches(a, b)
+            assert all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
+            assert len(got) == longest(a, b) if cells > 4 else len(got) <= longest(a, b)
+
+
+def test_deep_and_wide_pages():
+    wide = "".join(f"<h2>a{k}</h2><p>x{k} {prose(k, 3)}</p>" for k in range(50_000))
+    for page in ("<div>" * 10_000 + "<p>in</p>", "<div><p>a</p>" * 3000, "<ul><li>x" * 3000, wide, "".join(f"<div class=c{k}>a</div>" for k in range(20_000)), "".join(f"<div class=c{k * k % 20_011}>a</div><p>b" for k in range(8000))):
+        w = H.merged(H.wrapper_of(page), H.wrapper_of(page + "<p>more</p>"))
+        rule = H.rule_of(H.unflat(H.flat(H.canonical(w))))
+        assert H.extract(page, rule)
+
+
+def test_the_wrapper_decides(spark):
+    """Without the wrapper the template's texts and blocks would stay, and the prose beside the root would go."""
+    pages = [f"<body><article><h1>Title {k}</h1><p>{prose(k)}<p>Send this page to a friend</p></article><div class=rest><p>{prose(k + 50)}</p></div></body>" for k in range(5)]
+    rows = spark.createDataFrame([(k, "http://h.x/" + str(k), p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.main_text(rows).collect()}
+    assert got == {k: f"Title {k}\n\n{prose(k)}\n\n{prose(k + 50)}" for k in range(5)}
+    assert all(H.extract(p, {}) != got[k] for k, p in enumerate(pages))

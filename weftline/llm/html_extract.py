@@ -2,8 +2,8 @@
 
 A wrapper is a union-free regular expression over a page's block elements and texts. Each page gives one of its own: adjacent
 elements that align with each other become a repeated group. Wrappers of one host are aligned child by child: what matches is
-merged, equal texts stay constant, different ones become a slot, an element that one side lacks becomes optional, one that a side repeats
-becomes repeated. The merge is done inside every task over all its pages, then over the distinct wrappers of a host, so every
+merged, equal texts stay constant, different ones become a slot, an element that one side lacks becomes optional, an element or a run
+of elements that a side repeats becomes a repeated group. The merge is done inside every task over all its pages, then over the distinct wrappers of a host, so every
 page takes part and no task holds the pages of a host.
 
 From a host's wrapper follows where its article stands (its root, for which an article or main element is evidence), where more of
@@ -15,10 +15,12 @@ a whole, on a container, and where the wrapper holds the block in several pages.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import json
 import re
 import zlib
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,7 +163,7 @@ def events(page: str):
                 yield from pop(next(k for k, x in enumerate(stack) if x[0] == "head"))
         yield from flush()
         a = attributes(m["rest"])
-        inside = any(x[2] for x in stack)
+        inside = bool(stack) and stack[-1][2]
         off = beside(name, a, inside)
         stack.append((name, off, inside or (name in ("article", "main") and not off)))
         label = name + "".join(sorted("." + c for c in a.get("class", "").split()))
@@ -183,53 +185,200 @@ def either(a: str, b: str, repeated: bool = False, optional: bool = False) -> st
     return ("*" if less else "+") if more else ("?" if less else "")
 
 
-def merged(a: list, b: list, repeated: bool = False, same: bool = False) -> list:
-    """The wrapper of what either matches; both have one label. What is repeated, or `same`, stands in the same pages, which hold the texts of both."""
+def whole(call):
+    """Runs a function written as a generator that yields its calls, on a stack of its own: pages may nest to any depth."""
+    stack, value = [call], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
+def merged(a: list, b: list) -> list:
+    """The wrapper of what either matches; both have one label."""
+    return whole(_merged(a, b))
+
+
+def _merged(a: list, b: list, repeated: bool = False, same: bool = False):
+    """What is repeated, or `same`, stands in the same pages, which hold the texts of both."""
     same = same or repeated
     q = either(a[1], b[1], repeated)
     if a[0] == "#":
         every = set(a[5]) | set(b[5]) if same else set(a[5]) & set(b[5])
         return ["#", q, a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4], sorted(every)]
-    return [a[0], q, aligned(a[2], b[2], same), min(a[3], b[3]), max(a[4], b[4])]
+    return [a[0], q, (yield _aligned(a[2], b[2], same)), min(a[3], b[3]), max(a[4], b[4])]
 
 
-def lacking(w: list) -> list:
+def _lacking(w: list):
     """A wrapper that some page lacks: none of its texts is in every page."""
-    return [*w[:5], []] if w[0] == "#" else [w[0], w[1], [lacking(x) for x in w[2]], w[3], w[4]]
-
-
-def aligned(a: list, b: list, same: bool = False) -> list:
+    if w[0] == "#":
+        return [*w[:5], []]
+    children = []
+    for x in w[2]:
+        children.append((yield _lacking(x)))
+    return [w[0], w[1], children, w[3], w[4]]
+
+
+#: Cells of the table that finds a longest common subsequence; longer lists are cut at labels that both hold once, and where there are none, matched greedily.
+CELLS = 1 << 20
+
+
+def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest part of the pairs, which rise in the first place, that rises in the second as well."""
+    tops: list[int] = []
+    ends: list[int] = []
+    before: list[int] = []
+    for k, (_, y) in enumerate(pairs):
+        at = bisect.bisect_left(tops, y)
+        before.append(ends[at - 1] if at else -1)
+        tops[at : at + 1], ends[at : at + 1] = [y], [k]
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of two lists of labels (see CELLS)."""
+    lo, out = 0, []
+    while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
+        out.append((lo, lo))
+        lo += 1
+    n, m = len(a), len(b)
+    tail = []
+    while n > lo and m > lo and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+        tail.append((n, m))
+    tail.reverse()
+    if (n - lo) * (m - lo) <= CELLS:
+        size = [[0] * (m - lo + 1) for _ in range(n - lo + 1)]
+        for i in range(n - 1, lo - 1, -1):
+            row, below = size[i - lo], size[i - lo + 1]
+            for j in range(m - 1, lo - 1, -1):
+                row[j - lo] = below[j - lo + 1] + 1 if a[i] == b[j] else max(below[j - lo], row[j - lo + 1])
+        i = j = lo
+        while i < n and j < m:
+            if a[i] == b[j] and size[i - lo][j - lo] == size[i - lo + 1][j - lo + 1] + 1:
+                out.append((i, j))
+                i, j = i + 1, j + 1
+            elif size[i - lo + 1][j - lo] >= size[i - lo][j - lo + 1]:
+                i += 1
+            else:
+                j += 1
+        return out + tail
+    once = {x for x, k in Counter(a[lo:n]).items() if k == 1} & {x for x, k in Counter(b[lo:m]).items() if k == 1}
+    if once:
+        where = {x: j for j, x in enumerate(b[lo:m], lo) if x in once}
+        i = j = lo
+        for x, y in [*rising([(k, where[a[k]]) for k in range(lo, n) if a[k] in once]), (n, m)]:
+            out += [(i + u, j + v) for u, v in matches(a[i:x], b[j:y])]
+            if x < n:
+                out.append((x, y))
+            i, j = x + 1, y + 1
+        return out + tail
+    places: dict[str, list[int]] = {}
+    for j in range(m - 1, lo - 1, -1):
+        places.setdefault(b[j], []).append(j)
+    at = lo
+    for i in range(lo, n):
+        own = places.get(a[i], [])
+        while own and own[-1] < at:
+            own.pop()
+        if own and own[-1] - at <= n - i:
+            out.append((i, own[-1]))
+            at = own.pop() + 1
+    return out + tail
+
+
+def _aligned(a: list, b: list, same: bool = False):
     """Children of two wrappers: a longest common subsequence by label is merged, the rest becomes optional."""
-    keep = (lambda x: x) if same else lacking
+    a, b = as_groups(a, b), as_groups(b, a)
+    out: list = []
     if [x[0] for x in a] == [x[0] for x in b]:
-        return [merged(x, y, same=same) for x, y in zip(a, b, strict=True)]
-    size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            size[i][j] = size[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(size[i + 1][j], size[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i][0] == b[j][0] and size[i][j] == size[i + 1][j + 1] + 1:
-            out.append(merged(a[i], b[j], same=same))
-            i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and size[i + 1][j] >= size[i][j + 1]):
-            out.append([a[i][0], either(a[i][1], "", optional=True), *keep(a[i])[2:]])
-            i += 1
-        else:
-            out.append([b[j][0], either(b[j][1], "", optional=True), *keep(b[j])[2:]])
-            j += 1
-    return squared(out)
+        for x, y in zip(a, b, strict=True):
+            out.append((yield _merged(x, y, same=same)))
+        return out
+    i = j = 0
+    for x, y in [*matches([x[0] for x in a], [x[0] for x in b]), (len(a), len(b))]:
+        for alone in (*a[i:x], *b[j:y]):
+            kept = alone if same else (yield _lacking(alone))
+            out.append([alone[0], either(alone[1], "", optional=True), *kept[2:]])
+        if x < len(a):
+            out.append((yield _merged(a[x], b[y], same=same)))
+        i, j = x + 1, y + 1
+    return (yield _squared(out))
+
+
+#: Labels in a repeated group of several elements, at most.
+PERIOD = 8
+
+
+def group_label(labels: list[str]) -> str:
+    return "(" + " ".join(labels) + ")"
+
+
+def as_groups(a: list, b: list) -> list:
+    """Children of `a` with its runs of the labels of a group of `b` made such groups, so that one occurrence meets a repetition."""
+    for label in sorted({x[0] for x in b if x[0][0] == "("} - {x[0] for x in a}):
+        parts = label[1:-1].split(" ")
+        out, i = [], 0
+        while i < len(a):
+            if [x[0] for x in a[i : i + len(parts)]] == parts:
+                own = a[i : i + len(parts)]
+                out.append([label, "", own, min((x[3] for x in own if x[0] != "#"), default=0), max((x[4] for x in own if x[0] != "#"), default=0)])
+                i += len(parts)
+            else:
+                out.append(a[i])
+                i += 1
+        a = out
+    return a
+
 
+def _folded(run: list):
+    """One wrapper of adjacent elements of one label, in rounds of neighbours."""
+    while len(run) > 1:
+        left = []
+        for k in range(0, len(run) - 1, 2):
+            left.append((yield _merged(run[k], run[k + 1], repeated=True)))
+        run = left + run[len(left) * 2 :]
+    return run[0]
 
-def squared(children: list) -> list:
-    """Adjacent children of one label become a repeated group."""
+
+def _squared(children: list):
+    """Adjacent children of one label become a repeated group, and so do runs of up to PERIOD elements that follow themselves."""
     out: list = []
-    for x in children:
-        if out and out[-1][0] == x[0]:
-            out[-1] = merged(out[-1], x, repeated=True)
-        else:
-            out.append(x)
-    return out
+    i = 0
+    while i < len(children):
+        j = i + 1
+        while j < len(children) and children[j][0] == children[i][0]:
+            j += 1
+        out.append((yield _folded(children[i:j])))
+        i = j
+    labels = [x[0] for x in out]
+    done: list = []
+    i = 0
+    while i < len(out):
+        period = next((k for k in range(2, min(PERIOD, (len(out) - i) // 2) + 1) if labels[i] == labels[i + k] and labels[i : i + k] == labels[i + k : i + 2 * k]), 0)
+        if not period or any(x[0] in "(#" for x in labels[i : i + period]):
+            done.append(out[i])
+            i += 1
+            continue
+        at = i + period
+        while labels[at : at + period] == labels[i : i + period]:
+            at += period
+        held = []
+        for k in range(period):
+            own = out[i + k : at : period]
+            one = yield _folded(own)
+            held.append([one[0], "*" if "*" in {x[1] for x in own} else "+" if "+" in {x[1] for x in own} else "?" if "?" in {x[1] for x in own} else "", *one[2:]])
+        done.append([group_label(labels[i : i + period]), "+", held, min(x[3] for x in held), max(x[4] for x in held)])
+        i = at
+    return done
 
 
 def wrapper_of(page: str) -> list:
@@ -246,18 +395,47 @@ def wrapper_of(page: str) -> list:
             stack[-1][2].append(["#", "", key, len(e[1]), 1, [key]])
         else:
             done = stack.pop()
-            done[2] = squared(done[2])
+            done[2] = whole(_squared(done[2]))
             stack[-1][2].append(done)
-    root[2] = squared(root[2])
+    root[2] = whole(_squared(root[2]))
     return root
 
 
+def flat(w: list) -> str:
+    """A wrapper as JSON without nesting: nodes from the top, each with its depth."""
+    out, stack = [], [(0, w)]
+    while stack:
+        depth, x = stack.pop()
+        out.append([depth, *x] if x[0] == "#" else [depth, x[0], x[1], x[3], x[4]])
+        if x[0] != "#":
+            stack.extend((depth + 1, y) for y in reversed(x[2]))
+    return json.dumps(out)
+
+
+def unflat(text: str) -> list:
+    path: list[list] = []
+    for depth, *x in json.loads(text):
+        node = x if x[0] == "#" else [x[0], x[1], [], x[2], x[3]]
+        del path[depth:]
+        if path:
+            path[-1][2].append(node)
+        path.append(node)
+    return path[0]
+
+
 def canonical(w: list) -> list:
     """The wrapper without counts of characters, which would make all wrappers distinct; texts keep their mean length by powers of two."""
-    if w[0] == "#":
-        mean = w[3] // max(1, w[4])
-        return ["#", w[1], w[2], 1 << max(0, mean.bit_length() - 1), 1, w[5]]
-    return [w[0], w[1], [canonical(x) for x in w[2]], w[3], w[4]]
+
+    def go(w: list):
+        if w[0] == "#":
+            mean = w[3] // max(1, w[4])
+            return ["#", w[1], w[2], 1 << max(0, mean.bit_length() - 1), 1, w[5]]
+        children = []
+        for x in w[2]:
+            children.append((yield go(x)))
+        return [w[0], w[1], children, w[3], w[4]]
+
+    return whole(go(w))
 
 
 def rule_of(w: list) -> dict:
@@ -272,38 +450,46 @@ def rule_of(w: list) -> dict:
     fixed: set[int] = set()
     blocks: set[str] = set()
     direct: dict[str, list[int]] = {}  # characters of direct texts, of prose among them, and of direct texts outside article and main
-    whole = {"article": 0, "main": 0}
+    whole_of = {"article": 0, "main": 0}
+    known: dict[tuple[int, bool], tuple[int, int]] = {}
 
     def size(x: list) -> int:
         """Characters of a text; a constant one of different pages is template."""
         return 0 if several and x[2] is not None and x[5] else x[3] // max(1, x[4])
 
-    def texts(node: list, many: int, prose: bool) -> tuple[int, int]:
-        """Characters of the texts of a block, and of those that are prose."""
+    def texts(node: list, prose: bool):
+        """Characters of the texts of a block, and of those that are prose; read once per block."""
+        if (id(node), prose) in known:
+            return known[id(node), prose]
         own = long = 0
         for x in node[2]:
-            times = many * (4 if x[1] in ("+", "*") else 1)
+            times = 4 if x[1] in ("+", "*") else 1
             if x[0] == "#":
                 n = size(x)
                 own, long = own + n * times, long + (n * times if prose and n >= LONG else 0)
-            elif x[0].split(".")[0] in BLOCKS and not x[0].endswith(("!", "!c", "!i")):
-                a, b = texts(x, times, x[0].split(".")[0] in PROSE)
-                own, long = own + a, long + b
+            elif x[0][0] == "(" or (x[0].split(".")[0] in BLOCKS and not x[0].endswith(("!", "!c", "!i"))):
+                a, b = yield texts(x, prose if x[0][0] == "(" else x[0].split(".")[0] in PROSE)
+                own, long = own + a * times, long + b * times
+        known[id(node), prose] = own, long
         return own, long
 
-    def visit(node: list, within: tuple[str, ...], apart: bool, many: int) -> None:
+    def visit(node: list, within: tuple[str, ...], apart: bool, many: int):
         label = node[0]
         name = label.split(".")[0]
+        if label[:1] == "(":
+            for x in node[2]:
+                yield visit(x, within, apart, many * (4 if x[1] in ("+", "*") else 1))
+            return
         if label.endswith(("!", "!c", "!i")):
             apart = True
             if node[3] != node[4]:
                 blocks.add(label)
         if not apart and label and name not in BLOCKS:
-            own, long = texts(node, many, True)
+            own, long = (n * many for n in (yield texts(node, True)))
             for kind in ("article", "main"):
                 if name == kind or kind in within:
-                    whole[kind] += own
-            if name in whole:
+                    whole_of[kind] += own
+            if name in whole_of and name not in within:
                 within = (*within, name)
             at = direct.setdefault(label, [0, 0, 0, 0])
             for k, n in enumerate((own, long, 0 if "article" in within else long, 0 if "main" in within else long)):
@@ -313,16 +499,16 @@ def rule_of(w: list) -> dict:
                 if several and not apart:
                     fixed.update(x[5])
             else:
-                visit(x, within, apart, many * (4 if x[1] in ("+", "*") else 1))
+                yield visit(x, within, apart, min(many * (4 if x[1] in ("+", "*") else 1), 1 << 40))
 
-    visit(w, (), False, 1)
+    whole(visit(w, (), False, 1))
     names = {x.split(".")[0] for x in direct}
     best = max(direct, key=lambda x: (direct[x][0] if x != "html" else -1, x), default="")
     root, most, outside = best if direct and direct[best][0] else "", direct[best][0] if direct else 0, 1
     for k, kind in ((2, "article"), (3, "main")):
         other = max((x[k] for x in direct.values()), default=0)
-        if kind in names and whole[kind] >= SHARE * other:
-            root, most, outside = kind, whole[kind], k
+        if kind in names and whole_of[kind] >= SHARE * other:
+            root, most, outside = kind, whole_of[kind], k
             break
     more = sorted(x for x, n in direct.items() if root and x != root and n[outside] and n[outside] >= SHARE * most)
     return {"several": several, "root": root, "more": more, "fixed": sorted(fixed), "blocks": sorted(blocks)}
@@ -397,21 +583,21 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 rows = ((h, wrapper_of(x or "")) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
                 held = fold([*held.items(), *fold(rows).items()])
         names = list(held)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([json.dumps(canonical(held[k])) for k in names], pa.string())], names=["host", "w"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([flat(canonical(held[k])) for k in names], pa.string())], names=["host", "w"])
 
     def across(key, group):
         import pandas as pd
 
         out = None
         for w in sorted(group["w"]):
-            out = json.loads(w) if out is None else merged(out, json.loads(w))
-        return pd.DataFrame({"host": [key[0]], "w": [json.dumps(canonical(out))]})
+            out = unflat(w) if out is None else merged(out, unflat(w))
+        return pd.DataFrame({"host": [key[0]], "w": [flat(canonical(out))]})
 
     def rules(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([json.dumps(rule_of(json.loads(w))) for w in batch.column(1).to_pylist()], pa.string())], names=["host", "rule"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([json.dumps(rule_of(unflat(w))) for w in batch.column(1).to_pylist()], pa.string())], names=["host", "rule"])
 
     parts = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(inside, "host string, w string").distinct()
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("w"), F.lit(32))).groupBy("host", "salt").applyInPandas(across, "host string, w string").distinct()
