@@ -52,11 +52,24 @@ def ends(words: Column) -> Column:
     return F.when((p != q) & (n > LEAST), F.concat(of(p), of(q))).otherwise(of(p))
 
 
-def variants(words: Column) -> Column:
-    """Keys of the deletion neighbourhood of words or their hashes: each word deleted, and the line itself at each place of an insertion."""
-    n = F.size(words)
-    gone = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(i, F.slice(words, F.lit(1), i), F.slice(words, i + 2, n)))
-    kept = F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(i, F.slice(words, F.lit(1), i), F.slice(words, i + 1, n + 1)))
+def chain(ids: Column, seed: int) -> Column:
+    """Hashes of the first 0, 1, 2 ... of the ids; each goes on from the one before."""
+    return F.aggregate(ids, F.array(F.xxhash64(F.lit(seed))), lambda done, x: F.concat(done, F.array(F.xxhash64(F.element_at(done, -1), x))))
+
+
+def variants(starts: Column, ends: Column) -> Column:
+    """Keys of the deletion neighbourhood: each word deleted, and the line itself at each place of an insertion.
+
+    From hashes of the line's starts (`chain`) and of its ends (`chain` of the reversed line): a variant is a place, what stands before
+    it and what comes after it, so a line of n words is hashed twice and not 2n times.
+    """
+    n = F.size(starts) - 1
+
+    def key(i: Column, skipped: int) -> Column:
+        return F.xxhash64(i, F.get(starts, i), F.get(ends, n - i - F.lit(skipped)))
+
+    gone = F.transform(F.sequence(F.lit(0), n - 1), lambda i: key(i, 1))
+    kept = F.transform(F.sequence(F.lit(0), n), lambda i: key(i, 0))
     return F.concat(gone, kept)
 
 
@@ -73,7 +86,8 @@ def within_one(a: Column, b: Column) -> Column:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, keep_doc_id, keep_line_no, kept of every line.
 
-    keep_* is the earliest line that is equal or near (the line itself if it stays). Lines without words always stay. A null doc_id
+    keep_* is the earliest line that is equal or near (the line itself if it stays); being near does not carry over, so that line may
+    itself go for a still earlier one. Lines without words always stay. A null doc_id
     comes last; rows that repeat a doc_id share its line numbers, and where such lines have one text each counts as the same line.
     An empty table gives an empty result; other columns are not read.
     """
@@ -91,12 +105,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_doc"])).select("doc_id", "_lines", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
     texts = texts.filter(F.array_contains("_lines", F.col("line_no"))).select("doc_id", "line_no", words_of(F.col("line")).alias("words"))
     texts = texts.select(F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(3), "words").alias("h2"), ref.alias("ref"), "words")
-    alive = materialize(texts.filter(F.size("words") >= LEAST).groupBy("h1", "h2").agg(F.min("ref").alias("ref"), F.first("words").alias("words")).withColumn("ids", F.transform("words", lambda w: F.xxhash64(w))), "alive")
-    keys = alive.select("h1", F.col("ref.last").alias("last"), F.col("ref.doc_id").alias("doc_id"), F.col("ref.line_no").alias("line_no"), F.explode(variants(F.col("ids"))).alias("key"))
+    alive = materialize(texts.filter(F.size("words") >= LEAST).groupBy("h1", "h2").agg(F.min("ref").alias("ref"), F.first("words").alias("words")), "alive")
+    keys = alive.withColumn("starts", chain(F.col("words"), 5)).withColumn("ends", chain(F.reverse("words"), 6))
+    keys = keys.select("h1", F.col("ref.last").alias("last"), F.col("ref.doc_id").alias("doc_id"), F.col("ref.line_no").alias("line_no"), F.explode(variants(F.col("starts"), F.col("ends"))).alias("key"))
     lead = F.struct("last", "doc_id", "line_no").alias("ref")
     groups = keys.groupBy("key").agg(F.min(F.struct(lead, "h1")).alias("lead"), F.max("h1").alias("a"), F.min("h1").alias("b")).filter("a <> b").select("key", "lead")
     found = keys.select("key", "h1").join(groups, "key").filter(F.col("lead.h1") != F.col("h1")).groupBy("h1").agg(F.min("lead").alias("lead"))
-    pairs = found.join(alive.drop("ids"), "h1").filter(F.col("lead.ref") < F.col("ref")).select("h1", "h2", "words", "lead")
+    pairs = found.join(alive, "h1").filter(F.col("lead.ref") < F.col("ref")).select("h1", "h2", "words", "lead")
     leads = alive.select(F.col("h1").alias("l1"), F.col("words").alias("other"))
     near = pairs.join(leads, F.col("lead.h1") == F.col("l1")).filter(within_one(F.col("words"), F.col("other"))).select("h1", "h2", F.col("lead.ref").alias("near")).groupBy("h1", "h2").agg(F.min("near").alias("near"))
     first = slim.filter("n > 0").groupBy("h1", "h2").agg(F.min("ref").alias("first"))
