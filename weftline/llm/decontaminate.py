@@ -4,8 +4,9 @@ Words are runs of letters and digits, case folded. Runs of SEED words that a doc
 each (document, item) that shares one is tiled, and the document is contaminated if its tiles cover at least COVER of the
 item's words. Tiles may come in any order, so passages whose parts were moved count as well.
 
-The benchmark's seeds go to the tasks inside a closure, in blocks of at most BLOCK_WORDS words: a benchmark of any size is
-handled by as many passes as it has blocks, and no pass holds more than one block. Documents are never shuffled.
+The benchmark, which is a list of test items and does not grow with the corpus, goes to the tasks inside closures, in blocks of at
+most BLOCK_WORDS words: seeds meet by a search in a block's sorted table. It is handled by as many passes as it has blocks, and no
+task holds more than one block at a time. Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ class Items:
 
 
 def blocks(benchmark: DataFrame, words: int = BLOCK_WORDS):
-    """Rows (item_id, text) of the benchmark in blocks of about `words` words; only one block is on the driver at a time."""
+    """Rows (item_id, text) of the benchmark in blocks of about `words` words."""
     rows = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
     total = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     many = max(1, -(-total // words))
