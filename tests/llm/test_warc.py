@@ -45,3 +45,11 @@ def test_cut_archives_are_errors():
     whole = gzip.decompress(data)
     with pytest.raises(ValueError):
         list(W.records([whole[:-10]]))
+    for cut in (5, 9):  # the end of the stream is missing, though its last record is whole
+        with pytest.raises(ValueError):
+            list(W.records(W.inflated(io.BytesIO(data[:-cut]))))
+
+
+def test_forms_of_a_local_path(tmp_path):
+    for form in (f"{tmp_path}/x", f"file:{tmp_path}/x", f"file://{tmp_path}/x"):
+        assert W.file_system(form)[1] == f"{tmp_path}/x"

@@ -26,14 +26,18 @@ from .common import fresh_path, materialize, ship, table
 #: Payloads below this size are always written in full.
 SMALLEST = 1000
 BLOCK = 1 << 20
+#: Bytes of payloads that a reader holds before it passes them on.
+HELD = 4 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
 def file_system(path: str):
-    """(file system, path in it) of a URI or local path."""
+    """(file system, path in it) of a URI or local path; Hadoop's short form file:/x is a URI too."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path) if ":" in path else fs.FileSystem.from_uri("file://" + path)
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
 
 
 def sha1_32(payload: bytes) -> str:
@@ -58,17 +62,19 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, refe
 
 
 def inflated(source) -> Iterator[bytes]:
-    """Blocks of a gzip file of one or more members, inflated once."""
-    unzip = zlib.decompressobj(31)
+    """Blocks of a gzip file of one or more members, inflated once; a member without its end raises ValueError."""
+    unzip, begun = zlib.decompressobj(31), False
     while block := source.read(BLOCK):
         while block:
+            begun = True
             yield unzip.decompress(block)
             block = unzip.unused_data
             if unzip.eof:
-                unzip = zlib.decompressobj(31)
+                unzip, begun = zlib.decompressobj(31), False
             elif not block:
                 break
-    yield unzip.flush()
+    if begun:
+        raise ValueError("the gzip stream is cut off")
 
 
 def records(blocks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
@@ -201,27 +207,35 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = to_arrow_schema(schema)
+
+        def packed(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
+
         store, top = file_system(folder)
         name, source = None, None
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                out = []
-                for own, offset, length in zip(*[batch.slice(lo, 256).column(k).to_pylist() for k in range(3)], strict=True):
-                    if own != name:
-                        if source:
-                            source.close()
-                        name, source = own, store.open_input_file(f"{top}/{own}")
-                    source.seek(offset)
-                    headers, content, _ = next(records([zlib.decompress(source.read(length), 31)]))
-                    payload = content.partition(b"\r\n\r\n")[2]
-                    kind = headers["warc-type"]
-                    if kind == "response" and sha1_32(payload) != headers["warc-payload-digest"]:
-                        raise ValueError(f"{own} at {offset}: the payload does not match its digest")
-                    digest = base64.b32decode(headers["warc-payload-digest"].partition(":")[2]).hex()
-                    page, back = headers.get("x-page-id"), headers.get("x-refers-to")
-                    url = json.loads(f'"{headers["warc-target-uri"]}"')
-                    out.append((page and int(page), url, payload, int(headers["x-payload-length"]), digest, kind, back and int(back)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
+            out, held = [], 0
+            for own, offset, length in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+                if own != name:
+                    if source:
+                        source.close()
+                    name, source = own, store.open_input_file(f"{top}/{own}")
+                source.seek(offset)
+                headers, content, _ = next(records([zlib.decompress(source.read(length), 31)]))
+                payload = content.partition(b"\r\n\r\n")[2]
+                kind = headers["warc-type"]
+                if kind == "response" and sha1_32(payload) != headers["warc-payload-digest"]:
+                    raise ValueError(f"{own} at {offset}: the payload does not match its digest")
+                digest = base64.b32decode(headers["warc-payload-digest"].partition(":")[2]).hex()
+                page, back = headers.get("x-page-id"), headers.get("x-refers-to")
+                url = json.loads(f'"{headers["warc-target-uri"]}"')
+                out.append((page and int(page), url, payload, int(headers["x-payload-length"]), digest, kind, back and int(back)))
+                held += len(payload)
+                if held > HELD or len(out) == 1024:
+                    yield packed(out)
+                    out, held = [], 0
+            if out:
+                yield packed(out)
         if source:
             source.close()
 
