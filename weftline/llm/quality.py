@@ -131,6 +131,25 @@ class Model:
         return y, a, {"x": x, "h": h, "v": v, "u": u, "of": of, "z": z}
 
 
+def gradients(model: Model, x: np.ndarray, first: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the mean logistic loss of bags by the parameters."""
+    p = model.p
+    y, a, k = model.attend(x, first)
+    dy = (y - labels) / len(labels)
+    g = {"c": k["z"].T @ dy, "d": dy.sum()}
+    dz = dy[:, None] * p["c"]
+    dh = a[:, None] * dz[k["of"]]
+    da = (k["h"] * dz[k["of"]]).sum(1)
+    de = a * (da - np.add.reduceat(a * da, first)[k["of"]])
+    g["w"] = (k["v"] * k["u"]).T @ de
+    dg = de[:, None] * p["w"]
+    dv, du = dg * k["u"] * (1 - k["v"] ** 2), dg * k["v"] * k["u"] * (1 - k["u"])
+    g["V"], g["U"] = k["h"].T @ dv, k["h"].T @ du
+    dx = (dh + dv @ p["V"].T + du @ p["U"].T) * (1 - k["h"] ** 2)
+    g["W"], g["b"] = k["x"].T @ dx, dx.sum(0)
+    return g
+
+
 def train(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 40, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 11) -> Model:
     """Adam on the logistic loss of document labels."""
     r = np.random.default_rng(seed)
@@ -142,8 +161,10 @@ def train(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: in
     model = Model(p)
     if not bags:
         return model
-    every = np.concatenate(bags).astype(np.float64)
-    p["mean"], p["scale"] = every.mean(0), 1 / (every.std(0) + 0.02)
+    every = np.concatenate(bags)
+    mean = every.mean(0, dtype=np.float64)
+    p["mean"], p["scale"] = mean, 1 / (np.sqrt(np.maximum(0, np.einsum("ij,ij->j", every, every, dtype=np.float64) / len(every) - mean**2)) + 0.02)
+    del every
     names = ["W", "b", "V", "U", "w", "c", "d"]
     m, s = {k: np.zeros_like(p[k]) for k in names}, {k: np.zeros_like(p[k]) for k in names}
     step = 0
@@ -152,19 +173,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: in
         for lo in range(0, len(order), batch):
             own = order[lo : lo + batch]
             first = np.cumsum([0] + [len(bags[i]) for i in own])[:-1]
-            y, a, k = model.attend(np.concatenate([bags[i] for i in own]), first)
-            dy = (y - labels[own]) / len(own)
-            g = {"c": k["z"].T @ dy, "d": dy.sum()}
-            dz = dy[:, None] * p["c"]
-            dh = a[:, None] * dz[k["of"]]
-            da = (k["h"] * dz[k["of"]]).sum(1)
-            de = a * (da - np.add.reduceat(a * da, first)[k["of"]])
-            g["w"] = (k["v"] * k["u"]).T @ de
-            dg = de[:, None] * p["w"]
-            dv, du = dg * k["u"] * (1 - k["v"] ** 2), dg * k["v"] * k["u"] * (1 - k["u"])
-            g["V"], g["U"] = k["h"].T @ dv, k["h"].T @ du
-            dx = (dh + dv @ p["V"].T + du @ p["U"].T) * (1 - k["h"] ** 2)
-            g["W"], g["b"] = k["x"].T @ dx, dx.sum(0)
+            g = gradients(model, np.concatenate([bags[i] for i in own]), first, labels[own])
             step += 1
             now = rate * (0.5 + 0.5 * np.cos(np.pi * epoch / epochs))
             for name in names:
@@ -175,8 +184,8 @@ def train(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: in
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 4000, passages: int = 256) -> Model:
-    """Learns from at most `rows` labelled rows; of each at most `passages` evenly spread passages go to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 4000, points: int = 64_000_000) -> Model:
+    """Learns from at most `rows` labelled rows of at most `points` code points together; all their passages go to the driver."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -184,14 +193,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
         for whole in batches:
             for batch in chunks(whole):
-                out = []
-                for text in utf8(batch.column(1).to_pylist()):
-                    x = encode(text)
-                    out.append(x[np.unique(np.linspace(0, len(x) - 1, min(len(x), passages)).astype(int))].tobytes())
+                out = [encode(text).tobytes() for text in utf8(batch.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], names=["doc_id", "features", "label"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("features", T.BinaryType()), T.StructField("label", T.IntegerType())])
-    got = sorted(labelled_sample(docs, labels, label, rows).mapInArrow(run, schema).collect(), key=lambda r: (r["doc_id"], r["features"]))
+    got = sorted(labelled_sample(docs, labels, label, rows, points).mapInArrow(run, schema).collect(), key=lambda r: (r["doc_id"], r["features"]))
     return train([np.frombuffer(r["features"], np.float32).reshape(-1, N_FEATURES) for r in got], np.array([float(r["label"]) for r in got]))
 
 

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import AT_SYMBOL, chunks, hashed_words, in_fold, materialize, mix, ship, table, utf8
 
@@ -50,18 +51,12 @@ class Model:
         return bits
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, epochs: int = 6, least: int = 3, seed: int = 7) -> Model:
-    """FTRL-proximal over rows of distinct features. Features of fewer than `least` rows cannot outgrow the L1 term and are left out first."""
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, epochs: int = 6, seed: int = 7) -> Model:
+    """FTRL-proximal over rows of distinct features."""
     if not rows:
         return Model(np.zeros(0, np.uint32), np.zeros(0), 0.0)
-    known, times = np.unique(np.concatenate(rows), return_counts=True)
-    known = known[times >= least]
-    parts = []
-    for row in rows:
-        at = np.searchsorted(known, row)
-        inside = at < known.size
-        at = at[inside]
-        parts.append(at[known[at] == row[inside]])
+    known, place = np.unique(np.concatenate(rows), return_inverse=True)
+    parts = np.split(place, np.cumsum([r.size for r in rows])[:-1])
     z, n = np.zeros(known.size), np.zeros(known.size)
     zb = nb = 0.0
     rate = min(0.999, max(0.001, float(labels.mean())))
@@ -85,19 +80,25 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 2.0, beta: f
     return Model(known[held], w[held], prior - zb / ((beta + np.sqrt(nb)) / alpha))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """doc_id, text, label of at most `rows` labelled rows outside the held-out fold, the first by a hash of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, points: int) -> DataFrame:
+    """doc_id, text, label of labelled documents outside the held-out fold, the first by a hash of doc_id.
 
-    Labels that are null are left out; of repeated labels of one document the larger counts.
+    At most `rows` documents of at most `points` code points together, so that what is learned from is bounded in bytes as well.
+    Labels that are null are left out; of repeated labels of one document the larger counts, of repeated rows the largest text.
     """
+    order = F.xxhash64("doc_id"), F.col("doc_id")
     taken = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), FOLDS, 0))
-    taken = taken.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    taken = taken.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label")).orderBy(*order).limit(rows)
     taken = materialize(taken, "sample")  # at most `rows` short rows, so the broadcast is bounded
-    return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").limit(2 * rows)
+    found = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").groupBy("doc_id", "_label").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    found = materialize(found.select("doc_id", "text", "_label"), "sample")
+    sizes = found.select("doc_id", F.length("text").alias("n"))  # as many short rows
+    within = sizes.withColumn("n", F.sum("n").over(Window.orderBy(*order))).filter(F.col("n") <= points).select("doc_id")
+    return found.join(F.broadcast(within), "doc_id", "left_semi")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 10_000) -> Model:
-    """Learns from at most `rows` labelled rows; their distinct features go to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 10_000, points: int = 64_000_000) -> Model:
+    """Learns from at most `rows` labelled rows of at most `points` code points together; their distinct features go to the driver."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -109,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 10
                 out = [features_of(h[o[i] : o[i + 1]]).tobytes() for a, e, h, o in hashed_words(texts, AT_SYMBOL) for i in range(e - a)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], names=["doc_id", "features", "label"])
 
-    sample = labelled_sample(docs, labels, label, rows)
+    sample = labelled_sample(docs, labels, label, rows, points)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("features", T.BinaryType()), T.StructField("label", T.IntegerType())])
     got = sorted(sample.mapInArrow(run, schema).collect(), key=lambda r: (r["doc_id"], r["features"]))
     return ftrl([np.frombuffer(r["features"], np.uint32) for r in got], np.array([float(r["label"]) for r in got]))
