@@ -1,12 +1,9 @@
-"""Static element trees of pages: tokens, depth, parents, predicates, repetition, component counts."""
+"""Tags of static pages: predicates, navigation and bands, by tokens alone. Element trees are read by weftline.sources.html_nodes and folded by layout.py."""
 
 from __future__ import annotations
 
 from weftline.plans.dialect import step
 
-VOID = "('area','base','br','col','embed','hr','img','input','link','meta','param','source','track','wbr','p','b','!doctype')"
-
-
 @step(cut=True)
 def tags(d) -> str:
     """Tags of a page in order, without scripts and styles. Elements that may be left open count as empty."""
@@ -19,33 +16,9 @@ def tags(d) -> str:
     return f"SELECT page_id, cast(ord AS int) AS ord, {d.rx_sub('tok', '^/', '')} AS tag, CASE WHEN tok LIKE '/%' THEN -1 ELSE 1 END AS kind FROM ({rows}) r"
 
 
-@step(cut=True)
-def nodes(d) -> str:
-    """Elements with their depth; a void element opens and closes at once."""
-    step_ = f"CASE WHEN tag IN {VOID} THEN 0 ELSE kind END"
-    return f"SELECT page_id, ord, tag, kind, cast(sum({step_}) OVER (PARTITION BY page_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS int) - CASE WHEN tag IN {VOID} THEN 0 ELSE CASE WHEN kind = 1 THEN 1 ELSE 0 END END AS depth FROM ({tags(d)}) t"
-
-
-def tree(d) -> str:
-    """The parent of an element: the last element before it that is one level up."""
-    n = f"SELECT * FROM ({nodes(d)}) n WHERE kind = 1"
-    return f"SELECT c.page_id, c.ord, c.tag, c.depth, max(p.ord) AS parent_ord FROM ({n}) c LEFT JOIN ({n}) p ON c.page_id = p.page_id AND p.depth = c.depth - 1 AND p.ord < c.ord AND p.tag NOT IN {VOID} GROUP BY c.page_id, c.ord, c.tag, c.depth"
-
-
 def predicates(d) -> str:
     """Interactive by both rules, images, landmarks."""
-    return f"SELECT page_id, ord, tag, tag IN ('a', 'button', 'summary') AS interactive_style, tag IN ('a', 'button', 'input', 'select', 'textarea', 'option') AS interactive_tree, tag IN ('img', 'svg', 'picture', 'canvas') AS image, CASE WHEN tag IN ('header', 'nav', 'main', 'aside', 'footer', 'section', 'article') THEN tag END AS landmark FROM ({nodes(d)}) n WHERE kind = 1"
-
-
-def repetition(d) -> str:
-    """Siblings of one tag under one parent; groups of at least two have a representative and a count."""
-    return f"SELECT page_id, parent_ord, tag, count(*) AS instances, min(ord) AS first_ord FROM ({tree(d)}) t GROUP BY page_id, parent_ord, tag HAVING count(*) >= 2"
-
-
-def components(d) -> str:
-    """Per tag its instances, and the distinct tags of its children."""
-    kids = f"SELECT p.page_id, p.tag, {d.join(d.sort(d.uniq(d.gather('c.tag'))), ' ')} AS children FROM ({tree(d)}) c JOIN ({tree(d)}) p ON c.page_id = p.page_id AND c.parent_ord = p.ord WHERE c.tag <> p.tag GROUP BY p.page_id, p.tag"
-    return f"SELECT n.page_id, n.tag, n.instances, coalesce(k.children, '') AS children FROM (SELECT page_id, tag, count(*) AS instances FROM ({tree(d)}) t GROUP BY page_id, tag) n LEFT JOIN ({kids}) k ON n.page_id = k.page_id AND n.tag = k.tag"
+    return f"SELECT page_id, ord, tag, tag IN ('a', 'button', 'summary') AS interactive_style, tag IN ('a', 'button', 'input', 'select', 'textarea', 'option') AS interactive_tree, tag IN ('img', 'svg', 'picture', 'canvas') AS image, CASE WHEN tag IN ('header', 'nav', 'main', 'aside', 'footer', 'section', 'article') THEN tag END AS landmark FROM ({tags(d)}) n WHERE kind = 1"
 
 
 def in_nav(d) -> str:
@@ -59,5 +32,4 @@ def sections(d) -> str:
     return f"SELECT page_id, cast(band AS int) AS band, {'min_by' if d.spark else 'arg_min'}(tag, ord) AS tag, count_if(kind = 1 AND tag IN ('h1', 'h2', 'h3')) AS headings, count_if(kind = 1 AND tag = 'p') AS paragraphs, count_if(kind = 1 AND tag = 'a') AS actions FROM ({band}) b WHERE band > 0 GROUP BY page_id, band"
 
 
-PLANS = {"a9_page_tags": lambda d: f"SELECT page_id, ord, tag, kind FROM ({tags(d)}) t", "j_element_tree": tree, "b8_element_predicates": predicates, "d21_repetition": repetition, "d20_component_map": components, "b12_in_nav": in_nav, "j8_sections": sections}
-FUNCTIONS: dict = {}
+PLANS = {"a9_page_tags": lambda d: f"SELECT page_id, ord, tag, kind FROM ({tags(d)}) t", "b8_element_predicates": predicates, "b12_in_nav": in_nav, "j8_sections": sections}

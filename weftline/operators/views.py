@@ -1,7 +1,6 @@
 """Adapter views: observations with the shape of captured pages, derived from the relational tables by fixed arithmetic.
 
-A capture is a user (events) or an order bucket (lineitem); document order is the event id. With real captures the same operators
-read the tables of weftline.sources.
+A capture is a user (events) or an order bucket (lineitem); document order is the event id.
 """
 
 from __future__ import annotations
