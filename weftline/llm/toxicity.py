@@ -55,8 +55,8 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 2.0, beta: f
     """FTRL-proximal over rows of distinct features."""
     if not rows:
         return Model(np.zeros(0, np.uint32), np.zeros(0), 0.0)
-    known, place = np.unique(np.concatenate(rows), return_inverse=True)
-    parts = np.split(place, np.cumsum([r.size for r in rows])[:-1])
+    known = np.unique(np.concatenate(rows))
+    parts = [np.searchsorted(known, row).astype(np.int32) for row in rows]
     z, n = np.zeros(known.size), np.zeros(known.size)
     zb = nb = 0.0
     rate = min(0.999, max(0.001, float(labels.mean())))
@@ -75,9 +75,9 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 2.0, beta: f
             n[at] = ni + g * g
             zb += g - (np.sqrt(nb + g * g) - np.sqrt(nb)) / alpha * (bias - prior)
             nb += g * g
-    w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
-    held = w != 0
-    return Model(known[held], w[held], prior - zb / ((beta + np.sqrt(nb)) / alpha))
+    held = np.flatnonzero(np.abs(z) > l1)
+    z, n = z[held], n[held]
+    return Model(known[held], -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2), prior - zb / ((beta + np.sqrt(nb)) / alpha))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, points: int) -> DataFrame:
