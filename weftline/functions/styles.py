@@ -153,3 +153,43 @@ def loose_json(text: Column) -> Column:
     inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     valid = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
     return F.coalesce(valid(text), valid(F.nullif(inner, F.lit(""))))
+
+
+PAD_SNAP, GAP_SNAP, FOLD_SHARE = 4, 2, 0.92
+
+
+def nearest_step(value: Column, scale: Column, tolerance: float) -> Column:
+    """The step of a scale that is nearest, the first among equals; null beyond the tolerance or without a scale."""
+    near = F.array_min(F.transform(scale, lambda s, i: F.struct(F.abs(s - value).alias("gap"), i.alias("at"), s.alias("step"))))
+    return F.when(near["gap"] <= tolerance, near["step"])
+
+
+def radius_token(raw: Column) -> Column:
+    """One radius for all corners; pills are 9999px; none and mixed corners are null."""
+    text = F.trim(raw)
+    parts = F.split(text, r"\s+")
+    plain = F.when(F.forall(parts, lambda p: p == F.get(parts, F.lit(0))), F.get(parts, F.lit(0)))
+    return F.when(text.isin("", "0", "0px"), None).when((text == "50%") | F.contains(text, F.lit("999")), "9999px").otherwise(plain)
+
+
+def token_hint(role: Column, radius: Column, radii: Column, gap: Column, spacing: Column) -> Column:
+    """I16: role of the background, radius and gap where the report has them; null where it has none of them."""
+    token = radius_token(radius)
+    step = F.when(gap != 0, nearest_step(half_up(gap), spacing, GAP_SNAP))
+    parts = F.array_compact(F.array(F.concat(F.lit("bg="), role), F.when(F.array_contains(radii, token), F.concat(F.lit("radius="), token)), F.concat(F.lit("gap="), step.cast("long").cast("string"), F.lit("px"))))
+    return F.when(F.size(parts) > 0, F.array_join(parts, " · "))
+
+
+def pad_y(top: Column, bottom: Column, spacing: Column) -> Column:
+    """The mean of the paddings, at a near step of the scale; null where one is missing or below 0."""
+    mean = (top + bottom) / 2
+    px = F.coalesce(nearest_step(mean, spacing, PAD_SNAP).cast("long"), half_up(mean).cast("long"))
+    return F.when((top >= 0) & (bottom >= 0), F.concat(F.lit("padY "), px.cast("string"), F.lit("px")))
+
+
+def region_height(annotation: Column, kind: Column, height: Column, viewport: Column, padding: Column) -> Column:
+    """The height in a region's annotation gives way to 100vh where it fills the fold, else to its padding; pinned regions, those without bounds and other nodes stay."""
+    measured = F.regexp_extract(annotation, "h [0-9]+px", 0)
+    stays = (kind != "region") | kind.isNull() | annotation.isNull() | (measured == "") | height.isNull() | annotation.rlike("sticky|fixed")
+    put = F.when(height >= viewport * FOLD_SHARE, "h 100vh").otherwise(F.coalesce(padding, measured))
+    return F.when(stays, annotation).otherwise(F.overlay(annotation, put, F.position(measured, annotation), F.length(measured)))
