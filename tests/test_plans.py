@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from weftline.functions import color
-from weftline.plans import checks, registry, reports
+from weftline.plans import checks, lanes, registry, reports
 from weftline.plans.dialect import doubles
 from weftline.streaming import limiter
 
@@ -37,7 +37,7 @@ SLOW = set() if os.environ.get("WEFTLINE_ALL") else {"b28_dark_gate", "n1_score_
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", sorted((set(registry.PLANS) | set(checks.ORACLES) | set(reports.ORACLES)) - SLOW))
+@pytest.mark.parametrize("name", sorted((set(registry.PLANS) | set(checks.ORACLES) | set(reports.ORACLES) | set(lanes.ORACLES)) - SLOW))
 def test_plan(spark, duck, name):
     want = duck.sql(registry.oracle_sql()[name])
     got = registry.queries()[name](spark, DATA)

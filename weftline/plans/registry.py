@@ -11,7 +11,7 @@ from weftline.functions import text
 from weftline.sources.shared import written
 from weftline.streaming import limiter
 
-from . import checks, reports, trees
+from . import checks, lanes, reports, trees
 from .dialect import Dialect, check_sql, doubles
 
 FLAGSHIP = "h7_palette_roles"
@@ -20,7 +20,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 #: name -> function of a dialect that gives the SQL.
 PLANS: dict = {**palette.PLANS, **typography.PLANS, **tokens.PLANS, **joins.PLANS, **structure.PLANS, **text.PLANS, **limiter.PLANS}
 #: name -> function (spark, sf_dir) of the operators that SQL does not express.
-FUNCTIONS: dict = {**limiter.FUNCTIONS, **trees.QUERIES, **checks.QUERIES, **reports.QUERIES}
+FUNCTIONS: dict = {**limiter.FUNCTIONS, **trees.QUERIES, **checks.QUERIES, **reports.QUERIES, **lanes.QUERIES}
 
 
 def run(spark: SparkSession, name: str, tables: dict[str, DataFrame]) -> DataFrame:
@@ -66,4 +66,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {name: check_sql(plan) for name, plan in PLANS.items()} | checks.ORACLES | reports.ORACLES
+    return {name: check_sql(plan) for name, plan in PLANS.items()} | checks.ORACLES | reports.ORACLES | lanes.ORACLES
