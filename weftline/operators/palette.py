@@ -83,9 +83,13 @@ def canonical(d) -> str:
 
 @step(cut=True)
 def scored(d) -> str:
-    """Canonical colours with area (share of background use, standing for pixels), OKLCH and luminance."""
+    """Canonical colours with area, OKLCH and luminance. D2: the area is the share of pixels where a capture's pixels are given, else the share of background use."""
     full = layered(d, canonical(d), [*C.lab_layers(), *C.oklch_layers()])
-    return f"SELECT capture_id, ix, r, g, b, total, n_background, n_text, n_border, n_interactive, n_semantic, ok_c, ok_h, {C.luminance()} AS lum, {C.neutral('ok_c')} AS neutral, cast(n_background AS double) / greatest(1, sum(n_background) OVER (PARTITION BY capture_id)) AS area FROM ({full}) f"
+    area = "cast(n_background AS double) / greatest(1, sum(n_background) OVER (PARTITION BY capture_id))"
+    if "pixel_hist" in d.names:
+        full = f"SELECT c.*, w.area_weight FROM ({full}) c LEFT JOIN ({nearest_canon(d)}) w ON c.capture_id = w.capture_id AND c.ix = w.ix"
+        area = "coalesce(area_weight, 0.0)"
+    return f"SELECT capture_id, ix, r, g, b, total, n_background, n_text, n_border, n_interactive, n_semantic, ok_c, ok_h, {C.luminance()} AS lum, {C.neutral('ok_c')} AS neutral, {area} AS area FROM ({full}) f"
 
 
 def assign(colors):
@@ -106,7 +110,7 @@ def assign(colors):
             return None
         k = int(s.argmax())
         free[k] = False
-        out.append((int(c["capture_id"][0]), role, ROLES.index(role), int(c["ix"][k])))
+        out.append((c["capture_id"][0], role, ROLES.index(role), int(c["ix"][k])))
         return k
 
     back = np.where(c["n_background"] > 0, c["area"] * np.where(plain, 1.0, 0.6), 0.0)

@@ -1,11 +1,25 @@
 """Adapter views: observations with the shape of captured pages, derived from the relational tables by fixed arithmetic.
 
-A capture is a user (events) or an order bucket (lineitem); document order is the event id.
+A capture is a user (events) or an order bucket (lineitem); document order is the event id. Where the caller of a plan gives a
+relation of a view's name, as `sources.observations` makes them from captures, the plan reads that.
 """
 
 from __future__ import annotations
 
+import functools
 
+
+def observed(view):
+    """The given relation of this name, else the one derived from the test tables."""
+
+    @functools.wraps(view)
+    def read(d) -> str:
+        return f"SELECT * FROM {d.t(view.__name__)}" if view.__name__ in d.names else view(d)
+
+    return read
+
+
+@observed
 def color_obs(d) -> str:
     return f"""
 SELECT capture_id, ord, channel, interactive, semantic,
@@ -15,6 +29,7 @@ FROM (SELECT user_id AS capture_id, event_id AS ord, cast({d.rx('props', '([0-9]
       FROM {d.t('events')}) kk"""
 
 
+@observed
 def type_samples(d) -> str:
     return f"""
 SELECT capture_id, ord, k, 12.0 + (k % 8) * 4 + (k % 3) * 0.4 AS size_px, 400 + 100 * (k % 4) AS weight, (12 + (k % 8) * 4) * (1.2 + 0.1 * (k % 3)) AS line_height_px,
@@ -23,10 +38,12 @@ SELECT capture_id, ord, k, 12.0 + (k % 8) * 4 + (k % 3) * 0.4 AS size_px, 400 +
 FROM (SELECT user_id AS capture_id, event_id AS ord, cast({d.rx('props', '([0-9]+)', 1)} AS int) AS k FROM {d.t('events')} WHERE event_type IN ('click', 'view')) kk"""
 
 
+@observed
 def spacing_obs(d) -> str:
     return f"SELECT user_id AS capture_id, event_id AS ord, cast(floor(value + 0.5) AS int) AS px FROM {d.t('events')} WHERE value > 0 AND value <= 256"
 
 
+@observed
 def css_obs(d) -> str:
     """Radius and shadow strings."""
     s = "string" if d.spark else "varchar"
@@ -47,6 +64,7 @@ SELECT l_orderkey % 100 AS capture_id, row_number() OVER (PARTITION BY l_orderke
 FROM {d.t('lineitem')}"""
 
 
+@observed
 def pixel_hist(d) -> str:
     return f"""
 SELECT l_orderkey % 100 AS capture_id, cast(l_partkey % 16 * 16 + l_suppkey % 3 AS int) AS r, cast(l_suppkey % 8 * 32 + l_partkey % 2 AS int) AS g, cast(l_partkey % 4 * 60 AS int) AS b,

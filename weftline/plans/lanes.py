@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import answers as A
 from weftline.operators import attribution as R
+from weftline.operators import requests as Q
 
 #: Colours of the made nodes, far from each other; the first five have a role.
 FAMILIES = ("#f8f8f0", "#2050c0", "#303030", "#c03020", "#20a060", "#e0a0e0", "#808000")
@@ -111,7 +112,30 @@ def renamed(spark, sf_dir):
     return A.renamed(parts, updates).groupBy("id", "name", "kind", "naming").agg(F.count(F.lit(1)).alias("n"))
 
 
+def bodies(spark, sf_dir):
+    k = F.col("o_orderkey")
+    made = F.when(k % 5 == 0, F.concat(F.lit('{"url": " https://h'), k % 9, F.lit('.example "}'))).when(k % 5 == 1, F.concat(F.lit('{"image": " I'), k % 9, F.lit('", "images": [{"data": "A"}, {"data": "B"}], "mode": "palette"}')))
+    made = made.when(k % 5 == 2, '{"url": " ", "images": []}').when(k % 5 == 3, F.concat(F.lit("{"), F.col("o_orderpriority"))).otherwise(F.concat(F.lit('{"images": ['), F.array_join(F.array_repeat(F.lit('{"data": "x"}'), (k % 9).cast("int")), ", "), F.lit("]}")))
+    rows = Q.read_bodies(_read(spark, sf_dir, "orders").select("o_orderkey", made.alias("body")))
+    return rows.select("o_orderkey", "url", F.size("images").cast("int").alias("images"), "mode", F.col("status").cast("int").alias("status"), "cache_key")
+
+
+def variables(spark, sf_dir):
+    k = F.col("p_partkey")
+    value = F.when(k % 4 == 0, "var(--pad) solid").when(k % 4 == 1, F.concat(F.lit("calc(var(--none, "), k % 7, F.lit("px) + 1px)"))).when(k % 4 == 2, "var(--none)").otherwise("var(--outer, var(--pad))")
+    props = F.create_map(F.lit("--pad"), F.concat(F.lit(" "), k % 5, F.lit("px")), F.lit("--outer"), F.when(k % 3 == 0, "var(--pad)").otherwise(""))
+    return _read(spark, sf_dir, "part").select("p_partkey", Q.resolved_variables(value, props).alias("value"))
+
+
+def served(spark, sf_dir):
+    """L4: requests of users to eight processes; the event type is what they ask for, an error is not stored, a purchase is forced."""
+    e = _read(spark, sf_dir, "events")
+    rows = e.select((F.col("user_id") % 8).alias("store"), F.col("event_id").alias("request_id"), F.col("user_id").alias("client"), F.concat("user_id", F.lit(":"), "event_type").alias("cache_key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), (F.col("event_type") == "purchase").alias("force"), (F.col("event_type") != "error").alias("stored"))
+    return Q.served(rows)
+
+
 QUERIES = {
+    "a14_request_bodies": bodies, "i7_css_variables": variables, "l4_served": served,
     "c2_nearest_role": nearest, "c14_role_states": states, "c15_on_primary": on_primary, "m4_role_moves": moves, "m3_interpretations": interpreted, "n5_stability": stability, "m6_renamed": renamed,
 }
 
@@ -127,6 +151,12 @@ ORACLES = {
     "c2_nearest_role": f"""
 WITH {_NODES}
 SELECT css, role, count(DISTINCT user_id) AS captures FROM n WHERE role IS NOT NULL GROUP BY 1, 2""",
+    "a14_request_bodies": """
+WITH r AS (SELECT o_orderkey, o_orderkey % 5 AS k, CASE o_orderkey % 5 WHEN 0 THEN 'https://h' || (o_orderkey % 9) || '.example' END AS url, CASE o_orderkey % 5 WHEN 1 THEN 3 WHEN 4 THEN least(6, o_orderkey % 9) ELSE 0 END AS images FROM orders)
+SELECT o_orderkey, url, CAST(images AS INTEGER) AS images, CASE k WHEN 1 THEN 'palette' ELSE 'both' END AS mode, CASE WHEN url IS NULL AND images = 0 THEN 400 END AS status,
+  CASE WHEN url IS NOT NULL THEN sha256(url || '::both') WHEN k = 1 THEN sha256(':I' || (o_orderkey % 9) || '|A|B:palette') WHEN images > 0 THEN sha256(':' || array_to_string(list_transform(range(0, images), lambda i: 'x'), '|') || ':both') END AS cache_key FROM r""",
+    "i7_css_variables": """
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN (p_partkey % 5) || 'px solid' WHEN 1 THEN 'calc(' || (p_partkey % 7) || 'px + 1px)' WHEN 2 THEN 'var(--none)' ELSE (p_partkey % 5) || 'px' END AS value FROM part""",
     "c14_role_states": f"""
 WITH {_NODES}, c AS (
   SELECT user_id, event_id, role, 'hover' AS state, 'background-color' AS property, {_SHOWN} AS old, css AS raw, ink AS new FROM n WHERE event_type IN ('view', 'click') AND role IS NOT NULL

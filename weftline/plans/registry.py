@@ -37,7 +37,9 @@ def run(spark: SparkSession, name: str, tables: dict[str, DataFrame]) -> DataFra
             made.append(step)
             if isinstance(sql, tuple):
                 source, function, schema = sql
-                df = spark.table(prefix + source).groupBy("capture_id").applyInPandas(function, schema)
+                rows = spark.table(prefix + source)
+                key = rows.schema["capture_id"].dataType.simpleString()
+                df = rows.groupBy("capture_id").applyInPandas(function, schema.replace("capture_id bigint", f"capture_id {key}"))
             else:
                 df = spark.sql(doubles(sql))
             (written(df) if step in d.cuts else df).createOrReplaceTempView(prefix + step)
