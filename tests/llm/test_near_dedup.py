@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from weftline.llm import minhash as M
 from weftline.llm import near_dedup as N
@@ -136,3 +138,20 @@ def test_recall_of_near_pairs(spark, make):
     near = [k for k in range(600) if len(found[2 * k] & found[2 * k + 1]) >= 0.8 * len(found[2 * k] | found[2 * k + 1])]
     of = {x.doc_id: x.class_id for x in N.classes(make(rows)).collect()}
     assert len(near) > 300 and all(of[2 * k] == of[2 * k + 1] for k in near)
+
+
+def test_joins_of_texts_and_sets_are_the_same_at_every_size(spark, make):
+    """A table small enough to be sent to all tasks is shuffled like a large one, so that shuffles grow as the input does."""
+    from weftline.llm.common import materialize
+
+    r = random.Random(6)
+    docs = make([(k, edited(r, [f"b{j}" for j in range(60)], 1)) for k in range(30)])
+    nodes = materialize(N.sketches(docs), "sketches").select(*N.IDENTITY, "node")
+    sets = materialize(N.sets_of(docs, nodes), "sets")
+    pairs = sets.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy(F.lit(1))).alias("b")).filter("a <> b")
+    for found in (N.sets_of(docs, nodes), N.verified(pairs, sets)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("strategy=merge") == plan.count("Join Inner") + plan.count("Join LeftSemi") > 0
+    docs = materialize(docs, "docs")
+    plan = N.sets_of(docs, nodes)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

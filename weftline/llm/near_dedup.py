@@ -13,6 +13,8 @@ million, and a nearer one with less, however often a line is repeated in either.
   returns links between parts that were apart, never more than it has parts.
 So every pair of a bucket whose members are not already connected is compared, whatever the size of the bucket.
 
+Joins with tables that grow with the corpus are sort-merge joins whatever their size, so that shuffles grow in proportion to the input.
+
 Components are found by alternating large-star and small-star steps; every step is a shuffle by node with hubs reduced before.
 """
 
@@ -86,7 +88,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                             out.append((nodes[first + i], np.unique((found >> _U64(32)).astype(np.uint32)).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["node", "sh"])
 
-    rows = docs.select(*identity(), "text").join(wanted, [*IDENTITY]).select("text", "node")
+    rows = docs.select(*identity(), "text").join(wanted.hint("merge"), [*IDENTITY]).select("text", "node")
     found = rows.mapInArrow(run, "node binary, sh binary")
     return found.groupBy("node").agg(F.min("sh").alias("sh"))
 
@@ -117,11 +119,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     pairs = materialize(pairs, "pairs")
     hot = F.broadcast(pairs.groupBy("b").count().filter(F.col("count") * HOT > F.lit(pairs.count())).select("b", F.lit(SALTS).alias("salts")))
-    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("sa")), "a").join(hot, "b", "left")
+    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("sa")).hint("merge"), "a").join(hot, "b", "left")
     rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"), F.lit(0)))
-    leads = sets.select(F.col("node").alias("b"), F.col("sh").alias("sb")).join(pairs.select("b").distinct(), "b", "left_semi").join(hot, "b", "left")
+    leads = sets.select(F.col("node").alias("b"), F.col("sh").alias("sb")).join(pairs.select("b").distinct().hint("merge"), "b", "left_semi").join(hot, "b", "left")
     leads = leads.select("b", "sb", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)).alias("salt"))
-    return rows.join(leads, ["b", "salt"]).select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return rows.join(leads.hint("merge"), ["b", "salt"]).select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
 def tile(group):
@@ -161,7 +163,7 @@ def strays(members: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
 
     Leaders have met all members already. Buckets of the same members count once.
     """
-    rows = members.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    rows = members.join(parts.hint("merge"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     rows = materialize(rows.select("band", "node", "part", "lead"), "members")
     one, two = F.xxhash64("node"), F.xxhash64(F.lit(1), "node")
     sizes = rows.groupBy("band", "part").agg(F.count(F.lit(1)).alias("c"), F.count_if("lead").alias("l"), F.sum(one.cast("decimal(38,0)")).alias("x"), F.sum(two.cast("decimal(38,0)")).alias("y"))
@@ -176,7 +178,7 @@ def strays(members: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
     as_member = F.transform(F.sequence(F.lit(0), nq - 1), lambda q: F.struct(q.alias("qt"), mt.alias("mt"), F.when(asks & (q == qt), 3).otherwise(1).alias("role")))
     as_query = F.filter(F.transform(F.sequence(F.lit(0), nm - 1), lambda m: spot(qt, m, 2)), lambda x: asks & (x["mt"] != mt))
     spots = rows.select("band", "node", "part", F.explode(F.concat(as_member, as_query)).alias("at")).select("band", "node", "part", "at.*")
-    return spots.join(sets, "node").select("band", "qt", "mt", "node", "part", "role", "sh").groupBy("band", "qt", "mt").applyInArrow(tile, "a binary, b binary")
+    return spots.join(sets.hint("merge"), "node").select("band", "qt", "mt", "node", "part", "role", "sh").groupBy("band", "qt", "mt").applyInArrow(tile, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -215,14 +217,14 @@ def labelled(docs: DataFrame) -> DataFrame:
     members = materialize(spread.join(buckets, "band"), "buckets")
     nodes = materialize(every.drop("bands", "copies").join(members.select("key").distinct(), "key", "left_semi"), "shared")
     sets = materialize(sets_of(docs, nodes.select("of.*", "node")), "sets")
-    side = lambda c: nodes.select(F.col("key").alias(f"k{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}"))
+    side = lambda c: nodes.select(F.col("key").alias(f"k{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}")).hint("merge")
     star = members.select(F.col("key").alias("ka"), F.col("lead").alias("kb")).distinct().filter("ka <> kb").join(side("a"), "ka").join(side("b"), "kb")
     star = star.filter(F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")).select("a", "b")
     links = materialize(verified(star, sets), "links")
     first = links.groupBy("a").agg(F.min("b").alias("b"))
     ahead = first.select(F.col("a").alias("b"), F.col("b").alias("c"))
     parts = first.join(ahead, "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("part"))
-    more = strays(members.join(nodes.select("key", "node"), "key").select("band", "node", (F.col("key") == F.col("lead")).alias("lead")), parts, sets)
+    more = strays(members.join(nodes.select("key", "node").hint("merge"), "key").select("band", "node", (F.col("key") == F.col("lead")).alias("lead")), parts, sets)
     part = components(links.unionByName(more))
     parted = materialize(every.select("node", "copies").join(part, "node", "left").select("node", "copies", F.coalesce("part", "node").alias("part")), "parts")
     rows = matched(found.select("row", "doc_id", *IDENTITY, "node"), parted, "node", "copies").drop("node", "copies")
