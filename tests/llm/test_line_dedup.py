@@ -66,3 +66,9 @@ def test_odd_empty_and_native(odd, make):
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert L.dedup(make([])).count() == 0
+
+
+def test_variants_are_made_once(make):
+    """One explode and one shuffle of the deletion neighbourhood, however many steps use it."""
+    plan = L.dedup(make(make_docs()))._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Generate explode(" in x and "sequence(" in x for x in plan.split("\n")) == 1

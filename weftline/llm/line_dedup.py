@@ -6,8 +6,8 @@ doc_id, then line number) is equal or near; so the earliest stays.
 
 Deleting word i of a line gives a variant; its key hashes the words that stay and i. A line also carries itself as a variant at
 every place where a word could have been inserted. Lines that share a key are near each other, every one to every one, so a key's
-earliest line stands for all of them, and one row per line and key is all that is ever joined. The distance of what is dropped is
-verified on the words.
+earliest line stands for all of them. One row per line and key, made and shuffled once, finds the keys of several lines, and only
+those meet the lines' places. The distance of what is dropped is verified on the words.
 
 Only a line that has a near one needs variants. Of two lines one edit apart the first or the last words are untouched, so lines
 whose ends occur in no other line are left out first, by hashes alone; that is exact.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize, table
 
@@ -28,7 +29,7 @@ LEAST = 8
 
 def words_of(line: Column) -> Column:
     """Words of a line."""
-    return F.filter(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), "")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -57,20 +58,18 @@ def chain(ids: Column, seed: int) -> Column:
     return F.aggregate(ids, F.array(F.xxhash64(F.lit(seed))), lambda done, x: F.concat(done, F.array(F.xxhash64(F.element_at(done, -1), x))))
 
 
-def variants(starts: Column, ends: Column) -> Column:
-    """Keys of the deletion neighbourhood: each word deleted, and the line itself at each place of an insertion.
+def variants(lines: DataFrame) -> DataFrame:
+    """h1, key of the deletion neighbourhood of lines (h1, words): each word deleted, and the line itself at each place of an insertion.
 
     From hashes of the line's starts (`chain`) and of its ends (`chain` of the reversed line): a variant is a place, what stands before
-    it and what comes after it, so a line of n words is hashed twice and not 2n times.
+    it and what comes after it, so a line of n words is hashed twice and not 2n times. Places are rows before they are hashed: what
+    runs inside an array is interpreted, what runs on rows is compiled.
     """
-    n = F.size(starts) - 1
-
-    def key(i: Column, skipped: int) -> Column:
-        return F.xxhash64(i, F.get(starts, i), F.get(ends, n - i - F.lit(skipped)))
-
-    gone = F.transform(F.sequence(F.lit(0), n - 1), lambda i: key(i, 1))
-    kept = F.transform(F.sequence(F.lit(0), n), lambda i: key(i, 0))
-    return F.concat(gone, kept)
+    both = lines.select("h1", chain(F.col("words"), 5).alias("starts"), chain(F.reverse("words"), 6).alias("ends"))
+    n, v = F.size("starts") - 1, F.col("v")
+    rows = both.select("h1", "starts", "ends", F.explode(F.sequence(F.lit(0), 2 * n)).alias("v"))
+    i, skipped = F.when(v < n, v).otherwise(v - n), F.when(v < n, 1).otherwise(0)
+    return rows.select("h1", F.xxhash64(i, F.get("starts", i), F.get("ends", n - i - skipped)).alias("key"))
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -106,11 +105,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     texts = texts.filter(F.array_contains("_lines", F.col("line_no"))).select("doc_id", "line_no", words_of(F.col("line")).alias("words"))
     texts = texts.select(F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(3), "words").alias("h2"), ref.alias("ref"), "words")
     alive = materialize(texts.filter(F.size("words") >= LEAST).groupBy("h1", "h2").agg(F.min("ref").alias("ref"), F.first("words").alias("words")), "alive")
-    keys = alive.withColumn("starts", chain(F.col("words"), 5)).withColumn("ends", chain(F.reverse("words"), 6))
-    keys = keys.select("h1", F.col("ref.last").alias("last"), F.col("ref.doc_id").alias("doc_id"), F.col("ref.line_no").alias("line_no"), F.explode(variants(F.col("starts"), F.col("ends"))).alias("key"))
-    lead = F.struct("last", "doc_id", "line_no").alias("ref")
-    groups = keys.groupBy("key").agg(F.min(F.struct(lead, "h1")).alias("lead"), F.max("h1").alias("a"), F.min("h1").alias("b")).filter("a <> b").select("key", "lead")
-    found = keys.select("key", "h1").join(groups, "key").filter(F.col("lead.h1") != F.col("h1")).groupBy("h1").agg(F.min("lead").alias("lead"))
+    each = Window.partitionBy("key")
+    met = variants(alive).withColumns({"a": F.min("h1").over(each), "b": F.max("h1").over(each)}).filter("a <> b").select("key", "h1")
+    found = met.join(alive.select("h1", "ref"), "h1").withColumn("lead", F.min(F.struct("ref", "h1")).over(each)).filter("lead.h1 <> h1").groupBy("h1").agg(F.min("lead").alias("lead"))
     pairs = found.join(alive, "h1").filter(F.col("lead.ref") < F.col("ref")).select("h1", "h2", "words", "lead")
     leads = alive.select(F.col("h1").alias("l1"), F.col("words").alias("other"))
     near = pairs.join(leads, F.col("lead.h1") == F.col("l1")).filter(within_one(F.col("words"), F.col("other"))).select("h1", "h2", F.col("lead.ref").alias("near")).groupBy("h1", "h2").agg(F.min("near").alias("near"))
