@@ -134,3 +134,34 @@ def test_head_and_join_agree(spark, make, monkeypatch):
 def test_odd_and_empty(odd, make):
     assert L.score(odd).count() == odd.count()
     assert L.score(make([])).count() == 0
+
+
+def test_plain_sums_agree_with_log_space(monkeypatch):
+    """Words that are likely enough take no log space and find their arcs once; the others give the same either way."""
+    import numpy as np
+
+    own = L.lattice(L.default_vocabulary())
+    words = ["the", "nation", "größe☃", "internationals", "数据☃☃☃☃☃", "x", "ab☃" * 60, "zzqq" * 9, "q" * 300]
+    times, calls = np.arange(1.0, 1.0 + len(words)), []
+    one = np.zeros(own.prior.size)
+    found = L.Lattice.found
+    monkeypatch.setattr(L.Lattice, "found", lambda self, text: calls.append(1) or found(self, text))
+    for at, text in own.grouped(words[:6]):
+        own.expect(text, times[at], one)
+    assert len(calls) == len({len(w) for w in words[:6]})
+    for at, text in own.grouped(words[6:]):
+        own.expect(text, times[6 + at], one)
+    plain = own.marginals(words)
+    monkeypatch.setattr(L.Lattice, "FLOOR", 1.0)
+    two = np.zeros(own.prior.size)
+    for at, text in own.grouped(words):
+        own.expect(text, times[at], two)
+    assert np.allclose(one, two, rtol=1e-9, atol=1e-12) and np.allclose(plain, own.marginals(words), rtol=1e-12)
+
+
+def test_gathered_batches_hold_all_rows():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"word": [b"w%d" % (10 * k + j) for j in range(10)], "c": list(range(10))}) for k in range(7)]
+    got = list(L.gathered(iter(batches), rows=25))
+    assert [b.num_rows for b in got] == [30, 30, 10] and pa.Table.from_batches(got).equals(pa.Table.from_batches(batches).combine_chunks())

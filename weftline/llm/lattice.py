@@ -14,8 +14,8 @@ Words are counted over all documents, so the tables grow with the corpus. Words
 there can be HEAD at most, are looked up where the text is read; the rest are joined by word. No word of the join can be
 frequent, so no partition is hot.
 
-The recursion runs over many words of one length at once, as arrays; a very long word goes through in blocks of places, so memory
-follows the block and a word may have any length.
+The recursion runs over many words of one length at once, as arrays of plain probabilities; words too unlikely for that go through in
+log space, and a very long one in blocks of places, so memory follows the block and a word may have any length.
 """
 
 from __future__ import annotations
@@ -51,6 +51,8 @@ class Lattice:
     START = "▁"
     #: Places of a lattice that are held at once.
     BLOCK = 1 << 15
+    #: Natural log of the least probability that is summed outside log space.
+    FLOOR = -600.0
 
     def __init__(self, path: str):
         import sentencepiece
@@ -101,8 +103,8 @@ class Lattice:
             out.append(mix(value))
         return out
 
-    def arcs(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece (or -1) and log probability of every arc: word, place where it starts, length less one. Spelled characters have -2."""
+    def found(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece (or -1) of every arc: word, place where it starts, length less one; and log probabilities of single characters. Spelled characters have -2."""
         words, n = text.shape
         wide = min(n, self.longest)
         piece = np.full((words, n, wide), -1, np.int32)
@@ -112,14 +114,49 @@ class Lattice:
             at = np.minimum(np.searchsorted(self.keys, found), self.keys.size - 1)
             real = self.keys[at] == found
             piece[w[real], i[real], k] = self.ids[at[real]]
-        logp = np.where(piece >= 0, self.log[piece], -np.inf)
+        single = self.log[piece[:, :, 0]]
         w, i = np.nonzero(piece[:, :, 0] < 0)
         if w.size:
             chars, back = np.unique(text[w, i], return_inverse=True)
-            logp[w, i, 0] = np.array([sum(self.log[self.bytes[b]] for b in chr(c).encode()) for c in chars.tolist()])[back]
+            single[w, i] = np.array([sum(self.log[self.bytes[b]] for b in chr(c).encode()) for c in chars.tolist()])[back]
             piece[w, i, 0] = -2
+        return piece, single
+
+    def arcs(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece (or -1) and log probability of every arc, as in `found`."""
+        piece, single = self.found(text)
+        logp = np.where(piece >= 0, self.log[piece], -np.inf)
+        logp[:, :, 0] = single
         return piece, logp
 
+    def split(self, text: np.ndarray):
+        """Places of the words that need log space (any word whose characters, one by one, are less likely than exp(FLOOR)), then those that do not, with their arcs.
+
+        Every place of the others is reached with at least that probability, so plain sums of products stay within doubles.
+        """
+        if text.shape[1] > self.BLOCK:
+            return np.arange(text.shape[0]), None, None, None
+        piece, single = self.found(text)
+        plain = single.sum(1) > self.FLOOR
+        if plain.all():
+            return np.zeros(0, np.int64), np.arange(text.shape[0]), piece, single
+        return np.flatnonzero(~plain), np.flatnonzero(plain), piece[plain], single[plain]
+
+    def plain(self, piece: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Summed probability of all ways to reach each place (places and one by words), and the probabilities of arcs: place where they end, length less one, word."""
+        words, n, wide = piece.shape
+        p = np.append(np.exp(self.log), 0.0)
+        arc = np.zeros((n + 1, wide, words))
+        arc[1:, 0] = np.exp(single).T
+        for k in range(1, wide):
+            arc[k + 1 :, k] = p[piece[:, : n - k, k].T]
+        a = np.zeros((n + 1, words))
+        a[0] = 1
+        for j in range(1, n + 1):
+            k = min(j, wide)
+            a[j] = (a[j - k : j] * arc[j, :k][::-1]).sum(0)
+        return a, arc
+
     def forward(self, text: np.ndarray) -> np.ndarray:
         """log of the summed probability of all ways to reach each place (words by places and one)."""
         words, n = text.shape
@@ -138,6 +175,36 @@ class Lattice:
 
     def expect(self, text: np.ndarray, times: np.ndarray, into: np.ndarray) -> None:
         """Adds the expected counts of pieces of words that occur `times`."""
+        rest, own, piece, single = self.split(text)
+        if rest.size:
+            self.expect_logs(text[rest], times[rest], into)
+        if own is None or not own.size:
+            return
+        words, n, wide = piece.shape
+        a, arc = self.plain(piece, single)
+        share = np.zeros((n + 1, words))  # expected number of segmentations that pass a place
+        share[n] = times[own]
+        for j in range(n, 0, -1):
+            k = min(j, wide)
+            x = a[j - k : j] * arc[j, :k][::-1] * (share[j] / a[j])
+            share[j - k : j] += x
+            arc[j, :k] = x[::-1]
+        ids, passed = [], []
+        for k in range(wide):
+            part = piece[:, : n - k, k].T
+            real = part >= 0
+            ids.append(part[real])
+            passed.append(arc[k + 1 :, k][real])
+        into += np.bincount(np.concatenate(ids), np.concatenate(passed), into.size)
+        w, i = np.nonzero(piece[:, :, 0] == -2)
+        if w.size:
+            chars, back = np.unique(text[own[w], i], return_inverse=True)
+            for c, x in zip(chars.tolist(), np.bincount(back, arc[i + 1, 0, w]).tolist(), strict=True):
+                for b in chr(c).encode():
+                    into[self.bytes[b]] += x
+
+    def expect_logs(self, text: np.ndarray, times: np.ndarray, into: np.ndarray) -> None:
+        """`expect` in log space and in blocks of places, for words of any length."""
         words, n = text.shape
         a = self.forward(text)
         share = np.zeros((words, n + 1))  # expected number of segmentations that pass a place
@@ -179,7 +246,11 @@ class Lattice:
         """Natural log of M(word) of each word."""
         out = np.zeros(len(words))
         for own, text in self.grouped(words):
-            out[own] = self.forward(text)[:, -1]
+            rest, easy, piece, single = self.split(text)
+            if rest.size:
+                out[own[rest]] = self.forward(text[rest])[:, -1]
+            if easy is not None and easy.size:
+                out[own[easy]] = np.log(self.plain(piece, single)[0][-1])
         return out
 
 
@@ -230,6 +301,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def gathered(batches, rows: int = 1 << 16, limit: int = 16 << 20):
+    """The batches in larger ones of about `rows` rows or `limit` bytes: words of one length go through together, so more of them cost hardly more."""
+    import pyarrow as pa
+
+    held, n, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n, size = n + batch.num_rows, size + batch.nbytes
+        if n >= rows or size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n, size = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def fit(words: DataFrame, path: str, ends: int, rounds: int = ROUNDS, prior_mass: float = 200.0) -> np.ndarray:
     """Probabilities of pieces and the end after `rounds` of expectation-maximisation; only sums per piece reach the driver."""
     p = lattice(path).prior
@@ -241,7 +327,7 @@ def fit(words: DataFrame, path: str, ends: int, rounds: int = ROUNDS, prior_mass
 
             own = lattice(path, p)
             total = np.zeros(p.size)
-            for batch in batches:
+            for batch in gathered(batches):
                 found = [x.decode("utf-8", "replace") for x in batch.column(0).to_pylist()]
                 times = batch.column(1).to_numpy().astype(float)
                 for at, text in own.grouped(found):
@@ -265,7 +351,7 @@ def word_scores(words: DataFrame, path: str, p: np.ndarray) -> DataFrame:
         import pyarrow as pa
 
         own = lattice(path, p)
-        for batch in batches:
+        for batch in gathered(batches):
             found = own.marginals([x.decode("utf-8", "replace") for x in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found / math.log(10))], names=["word", "c", "lp"])
 
